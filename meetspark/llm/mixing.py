@@ -35,8 +35,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("rest", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
     rows = rows.withColumn("wanted", share * F.sum("source_size").over(everything)).withColumn("level", (F.col("wanted") - F.col("full")) / F.col("rest"))
-    level = F.min(F.when(F.col("level") <= F.col("fills_at"), F.struct("fills_at", "level"))).over(everything)
-    return rows.select("source", "source_size", F.least("cap", F.coalesce(level["level"] * F.col("weight"), F.col("cap"))).alias("target"))
+    level = F.max(F.when(F.col("level") <= F.col("fills_at"), F.col("level"))).over(everything)  # the first; later ones take too many as full
+    return rows.select("source", "source_size", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
 def mix_keyed(documents: DataFrame, keep: list[Column], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
@@ -92,7 +92,7 @@ levels AS (
   FROM weighed),
 goals AS (
   SELECT source, source_size,
-         least(cap, coalesce((SELECT arg_min(level, fills_at) FROM levels WHERE level <= fills_at) * weight, cap)) AS target
+         least(cap, coalesce((SELECT max(level) FROM levels WHERE level <= fills_at) * weight, cap)) AS target
   FROM levels),
 placed AS (
   SELECT s.doc_id, s.size, g.source_size, g.target, CAST(floor(g.target + 0.5) AS BIGINT) AS budget,
