@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetspark.llm import mixing, packing, tokens
+from meetspark.llm import mixing, packing, tokenfiles, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to files and read back through their index."""
+    return tokenfiles.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes from each."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -29,7 +34,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {x.__name__: x for x in (op1_best_fit_packing, op7_mixing, op10_token_counts)}
+    return {x.__name__: x for x in (op1_best_fit_packing, op6_token_files, op7_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
