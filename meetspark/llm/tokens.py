@@ -35,10 +35,11 @@ def resolve(name: str) -> str:
 
 
 class Encoder:
-    """Values of texts from the ids of their pieces: `of(ids)` makes a piece's value, `join(values)` a text's."""
+    """Values of texts from the ids of their pieces: `of(ids)` makes a piece's value, `cut(ids, places)` those of pieces that start at
+    the places, and `join(values)` puts them together."""
 
-    def __init__(self, name: str, of: Callable, join: Callable):
-        self.of, self.join = of, join
+    def __init__(self, name: str, of: Callable, cut: Callable, join: Callable):
+        self.of, self.cut, self.join = of, cut, join
         self.memo: dict = {}
         self.first: dict = {}
         self.old: dict = {}  # what was remembered before; pieces met again move on
@@ -97,12 +98,12 @@ class Encoder:
 
     def _learn_spaced(self, pieces: list[str]) -> None:
         """Pieces after a space are encoded together, as a text has them; each begins at an id that begins with a space."""
-        for part in balanced([len(x) for x in pieces], 1 << 14):
+        for part in balanced([len(x) for x in pieces], 1 << 11):
             some = pieces[part]
             ids = self.encode([" " + " ".join(some)])[0]
             at = np.flatnonzero(self.starts[ids]).tolist()
             if len(at) == len(some) and at[0] == 0:
-                self.memo.update(zip(some, [self.of(ids[i:j]) for i, j in zip(at, [*at[1:], len(ids)], strict=True)], strict=True))
+                self.memo.update(zip(some, self.cut(ids, at), strict=True))
             else:
                 self.memo.update(zip(some, map(self.of, self.encode([f" {x}" for x in some])), strict=True))
 
@@ -121,17 +122,22 @@ def merged(parts: list[str]) -> list[str]:
 _ENCODERS: dict = {}
 
 
+def _cut_ids(ids: list[int], at: list[int]) -> list[bytes]:
+    whole = np.asarray(ids, dtype="<u4").tobytes()
+    return [whole[4 * i : 4 * j] for i, j in zip(at, [*at[1:], len(ids)], strict=True)]
+
+
 def id_encoder(name: str) -> Encoder:
     """Gives a text's ids as little-endian unsigned 32-bit integers."""
     if ("ids", name) not in _ENCODERS:
-        _ENCODERS["ids", name] = Encoder(name, lambda ids: np.asarray(ids, dtype="<u4").tobytes(), b"".join)
+        _ENCODERS["ids", name] = Encoder(name, lambda ids: np.asarray(ids, dtype="<u4").tobytes(), _cut_ids, b"".join)
     return _ENCODERS["ids", name]
 
 
 def count_encoder(name: str) -> Encoder:
     """Gives a text's number of ids."""
     if ("counts", name) not in _ENCODERS:
-        _ENCODERS["counts", name] = Encoder(name, len, sum)
+        _ENCODERS["counts", name] = Encoder(name, len, lambda ids, at: np.diff([*at, len(ids)]).tolist(), sum)
     return _ENCODERS["counts", name]
 
 

@@ -1,9 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meetspark.llm import tokens
 
-ODD = ["", " ", "a ", " x", "a  b", "a\n b", "don't  do\tit \n\n q ", "\x1c a", "é\x85 b", "x <|endoftext|> y<|endoftext|>z", "<|endoftext|> <|endoftext|>", "日本語 テキスト", "a" * 5000, "b c " * 30000, "퟿ 😀  😀"]
+ODD = ["", " ", "a ", " x", "a  b", "a\n b", "don't  do\tit \n\n q ", "\x1c a", "é\x85 b", "x <|endoftext|> y<|endoftext|>z", "<|endoftext|> <|endoftext|>", "日本語 テキスト", "a" * 5000, "b c " * 30000, "퟿ 😀  😀", "a b. c, d### e!!! .. x1. 's. don't. é. ª. 2. f. <|endoftext|>. a<|endoftext|>, .. b", " ," * 9]
 
 
 @pytest.fixture(scope="module")
@@ -14,8 +15,6 @@ def library():
 
 
 def test_ids_are_those_of_the_library(library):
-    import numpy as np
-
     encoder = tokens.id_encoder(tokens.TOKENIZER)
     got = [np.frombuffer(x, "<u4").tolist() for x in tokens.encoded(encoder, ODD * 2)]
     assert got == [library.encode(x, add_special_tokens=False).ids for x in ODD * 2]
@@ -23,7 +22,7 @@ def test_ids_are_those_of_the_library(library):
 
 def test_memory_is_bounded_and_harmless(library, monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_PIECES", 5)
-    encoder = tokens.Encoder(tokens.TOKENIZER, len, sum)
+    encoder = tokens.Encoder(tokens.TOKENIZER, len, lambda ids, at: np.diff([*at, len(ids)]).tolist(), sum)
     texts = [f"word{i} and word{i % 3} again" for i in range(50)]
     for text in texts:
         assert encoder.values([text]) == [len(library.encode(text).ids)]
