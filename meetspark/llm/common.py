@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Word separators of the contracts: space and the control characters tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch handed to Python, so that a batch of long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 

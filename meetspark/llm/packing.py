@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meetspark.llm import tokens
-from meetspark.llm.common import bound_batches, materialise, texts_of
+from meetspark.llm.common import bound_batches, materialise
 
 CAPACITY = 1024
 #: Pieces that a task packs at once, and rounds of exchange.
@@ -75,11 +75,11 @@ def pieces_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.id_encoder(tokenizer)
+        encoder = tokens.encoder_of(tokenizer)
         for batch in batches:
             rows, pieces, starts, lengths, sums = [], [], [], [], []
-            for i, ids in enumerate(tokens.encoded(encoder, texts_of(batch.column(1)))):
-                ids += end
+            for i, ids in enumerate(encoder.ids(batch.column(1))):
+                ids = ids.tobytes() + end
                 n, start, k = len(ids) // 4, 0, 0
                 size = n % capacity or capacity
                 while start < n:

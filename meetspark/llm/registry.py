@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetspark.llm import mixing, packing, tokenfiles, tokens
+from meetspark.llm import html, mixing, packing, quality, tokenfiles, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract_articles(_table(spark, sf_dir, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written to files and read back through their index."""
     return tokenfiles.round_trip(_table(spark, sf_dir, "documents"))
@@ -28,13 +33,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from the labels that are not held out."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text of documents."""
     return tokens.count_tokens(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {x.__name__: x for x in (op1_best_fit_packing, op6_token_files, op7_mixing, op10_token_counts)}
+    return {x.__name__: x for x in (op1_best_fit_packing, op4_html_extraction, op6_token_files, op7_mixing, op9_quality_classifier, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meetspark.llm import perfect_hash, tokens
-from meetspark.llm.common import bound_batches, partitions, scratch_path, texts_of
+from meetspark.llm.common import bound_batches, partitions, scratch_path
 
 MAGIC = b"MSTOK001"
 HEADER = "<8sIIQQ"  # magic, file number, bytes of an id, documents, ids
@@ -87,17 +87,16 @@ def write(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
     spark = documents.sparkSession
     bound_batches(spark)
-    end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, width = tokens.id_encoder(tokenizer), _width(tokenizer)
+        encoder, width = tokens.encoder_of(tokenizer), _width(tokenizer)
+        end = np.array([end_id], dtype=f"<u{width}").tobytes()
         keys, lengths, ids = [], [], []
         for batch in batches:
             keys += batch.column(0).to_pylist()
-            for x in tokens.encoded(encoder, texts_of(batch.column(1))):
-                x += end
-                lengths.append(len(x) // 4)
-                ids.append(x if width == 4 else np.frombuffer(x, "<u4").astype("<u2").tobytes())
+            for x in encoder.ids(batch.column(1)):
+                lengths.append(len(x) + 1)
+                ids += [x.astype(f"<u{width}").tobytes(), end]
         if keys:
             number = TaskContext.get().partitionId()
             head = [struct.pack(HEADER, MAGIC, number, width, len(keys), sum(lengths)), np.array([x or 0 for x in keys], dtype="<i8").tobytes(), np.array(lengths, dtype="<u4").tobytes(), np.array([x is not None for x in keys], dtype=np.uint8).tobytes()]

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from meetspark.llm.common import balanced, bound_batches, texts_of
 #: The vocabulary file of the contracts, and the id that ends each document.
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: UTF-8 bytes of texts that are encoded together, and distinct pieces that a worker remembers.
-BATCH_BYTES, MEMO_PIECES = 1 << 20, 300_000
+BATCH_BYTES, MEMO_PIECES = 8 << 20, 250_000
 
 
 def resolve(name: str) -> str:
@@ -35,14 +36,12 @@ def resolve(name: str) -> str:
 
 
 class Encoder:
-    """Values of texts from the ids of their pieces: `of(ids)` makes a piece's value, `cut(ids, places)` those of pieces that start at
-    the places, and `join(values)` puts them together."""
-
-    def __init__(self, name: str, of: Callable, cut: Callable, join: Callable):
-        self.of, self.cut, self.join = of, cut, join
-        self.memo: dict = {}
-        self.first: dict = {}
-        self.old: dict = {}  # what was remembered before; pieces met again move on
+    """Ids of texts, put together from the ids of their pieces, which are remembered for as long as there is room."""
+
+    def __init__(self, name: str):
+        self.memo: dict[str, bytes] = {}  # pieces after a space
+        self.first: dict[str, bytes] = {}  # pieces as they are
+        self.old: dict[str, bytes] = {}  # what was remembered before; pieces met again move on
         path = resolve(name)
         if path.endswith(".model"):
             import sentencepiece
@@ -60,52 +59,95 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         before = parts.get("pre_tokenizer") or {}
-        if "Ġ" in library.get_vocab():
+        self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not parts.get("normalizer") and not any(x.get(k) for x in parts.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
+        if self.cuts:
             self.starts = np.zeros(library.get_vocab_size(), dtype=bool)  # of ids that begin with a space
             self.starts[[i for token, i in library.get_vocab().items() if token[0] == "Ġ"]] = True
-        self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not parts.get("normalizer") and not any(x.get(k) for x in parts.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
 
-    def values(self, texts: list[str]) -> list:
+    def pieces(self, column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Of the texts of a column: the ids of distinct pieces, the pieces of all texts by number, and how many each text has."""
         if not self.cuts:
-            return [self.join([self.of(ids)]) for ids in self.encode(texts)] if texts else []
+            texts = texts_of(column)
+            return list(map(_packed, self.encode(texts))) if texts else [], np.arange(len(texts)), np.ones(len(texts), np.int64)
+        lists = pc.split_pattern(column.fill_null(""), " ")
+        counts = lists.value_lengths().to_numpy().astype(np.int64)
+        flat = lists.flatten()
+        coded = flat.dictionary_encode()
+        distinct, order = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         if len(self.memo) + len(self.first) > MEMO_PIECES:
             self.old, self.memo, self.first = self.memo, {}, {}
-        parts = [x.split(" ") for x in texts]
-        new = set().union(*parts) - self.memo.keys()
+        memo = self.memo
+        values = list(map(memo.get, distinct))
+        new = [x for x, y in zip(distinct, values, strict=True) if y is None]
+        old = list(map(self.old.get, new))
+        memo.update((x, y) for x, y in zip(new, old, strict=True) if y is not None)
         # A piece that is empty or ends in white space has no safe boundary after it; texts with such pieces go the longer way.
-        again = new & self.old.keys()
-        self.memo.update((x, self.old[x]) for x in again)
-        self._learn_spaced([x for x in new - again if x and not x[-1].isspace()])
-        self._learn({x[0] for x in parts})
-        out, memo, first = [], self.memo, self.first
-        for text, pieces in zip(texts, parts, strict=True):
-            head = pieces[0]
-            try:
-                if len(pieces) > 1 and head and head[-1].isspace():
-                    raise KeyError(head)
-                values = [first[head]]
-                values.extend(map(memo.__getitem__, pieces[1:]))
-            except KeyError:
-                whole = merged(pieces)
+        self._learn_spaced([x for x, y in zip(new, old, strict=True) if y is None and x and not x[-1].isspace()])
+        values = [memo.get(x) if y is None else y for x, y in zip(distinct, values, strict=True)]
+        unsafe = np.array([x is None for x in values], dtype=bool)
+        at = np.cumsum(counts) - counts
+        heads = flat.take(pa.array(at)).to_pylist()
+        self._learn(set(heads))
+        order[at] = len(values) + np.arange(len(heads))
+        unsafe = np.append(unsafe, [n > 1 and x != "" and x[-1].isspace() for x, n in zip(heads, counts.tolist(), strict=True)]).astype(bool)
+        values += [self.first[x] for x in heads]
+        slow = np.unique(np.repeat(np.arange(len(counts)), counts)[unsafe[order]])
+        if len(slow):
+            parts = np.split(order, at[1:])
+            for i in slow.tolist():
+                whole = merged(column[i].as_py().split(" "))
                 self._learn(set(whole))
-                values = [first[x] for x in whole]
-            out.append(self.join(values))
-        return out
+                parts[i] = len(values) + np.arange(len(whole))
+                values += [self.first[x] for x in whole]
+                counts[i] = len(whole)
+            order = np.concatenate(parts)
+        return [x or b"" for x in values], order, counts
 
     def _learn(self, pieces: set[str]) -> None:
         new = list(pieces - self.first.keys())
-        self.first.update(zip(new, map(self.of, self.encode(new)), strict=True))
+        if new:
+            self.first.update(zip(new, map(_packed, self.encode(new)), strict=True))
 
     def _learn_spaced(self, pieces: list[str]) -> None:
         """Pieces after a space are encoded together, as a text has them; each begins at an id that begins with a space."""
         for part in balanced([len(x) for x in pieces], 1 << 11):
             some = pieces[part]
-            ids = self.encode([" " + " ".join(some)])[0]
-            at = np.flatnonzero(self.starts[ids]).tolist()
+            ids = np.asarray(self.encode([" " + " ".join(some)])[0], dtype="<u4")
+            at = (4 * np.flatnonzero(self.starts[ids])).tolist()
             if len(at) == len(some) and at[0] == 0:
-                self.memo.update(zip(some, self.cut(ids, at), strict=True))
+                whole = ids.tobytes()
+                self.memo.update(zip(some, [whole[i:j] for i, j in zip(at, [*at[1:], len(whole)], strict=True)], strict=True))
             else:
-                self.memo.update(zip(some, map(self.of, self.encode([f" {x}" for x in some])), strict=True))
+                self.memo.update(zip(some, map(_packed, self.encode([f" {x}" for x in some])), strict=True))
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        out = [np.empty(0, np.int64)]
+        for part in balanced(_sizes(column), BATCH_BYTES):
+            values, order, pieces = self.pieces(column[part])
+            n = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            out.append(np.add.reduceat(n[order], np.cumsum(pieces) - pieces))
+        return np.concatenate(out)
+
+    def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        for part in balanced(_sizes(column), BATCH_BYTES):
+            values, order, pieces = self.pieces(column[part])
+            n = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            table, start = np.frombuffer(b"".join(values), "<u4"), np.cumsum(n) - n
+            taken = n[order]
+            ends = np.cumsum(taken)
+            ids = table[np.repeat(start[order] - ends + taken, taken) + np.arange(ends[-1] if len(ends) else 0)]
+            texts = np.append(0, np.add.reduceat(taken, np.cumsum(pieces) - pieces).cumsum())
+            yield from (ids[i:j] for i, j in zip(texts[:-1].tolist(), texts[1:].tolist(), strict=True))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.asarray(ids, dtype="<u4").tobytes()
+
+
+def _sizes(column: pa.Array) -> list[int]:
+    return pc.binary_length(column).fill_null(0).to_pylist()
 
 
 def merged(parts: list[str]) -> list[str]:
@@ -119,32 +161,14 @@ def merged(parts: list[str]) -> list[str]:
     return out
 
 
-_ENCODERS: dict = {}
-
-
-def _cut_ids(ids: list[int], at: list[int]) -> list[bytes]:
-    whole = np.asarray(ids, dtype="<u4").tobytes()
-    return [whole[4 * i : 4 * j] for i, j in zip(at, [*at[1:], len(ids)], strict=True)]
-
-
-def id_encoder(name: str) -> Encoder:
-    """Gives a text's ids as little-endian unsigned 32-bit integers."""
-    if ("ids", name) not in _ENCODERS:
-        _ENCODERS["ids", name] = Encoder(name, lambda ids: np.asarray(ids, dtype="<u4").tobytes(), _cut_ids, b"".join)
-    return _ENCODERS["ids", name]
-
-
-def count_encoder(name: str) -> Encoder:
-    """Gives a text's number of ids."""
-    if ("counts", name) not in _ENCODERS:
-        _ENCODERS["counts", name] = Encoder(name, len, lambda ids, at: np.diff([*at, len(ids)]).tolist(), sum)
-    return _ENCODERS["counts", name]
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoded(encoder: Encoder, texts: list[str]) -> Iterator:
-    """Values of texts, a byte-balanced batch at a time."""
-    for part in balanced([len(x) for x in texts], BATCH_BYTES):
-        yield from encoder.values(texts[part])
+def encoder_of(name: str) -> Encoder:
+    """This worker's encoder for a vocabulary."""
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(name)
+    return _ENCODERS[name]
 
 
 def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
@@ -152,9 +176,9 @@ def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = count_encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for column in batches:
-            yield pa.array(encoded(encoder, texts_of(column)), pa.int64())
+            yield pa.array(encoder.counts(column), pa.int64())
 
     return count(text)
 

@@ -1,4 +1,4 @@
-import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,23 +15,25 @@ def library():
 
 
 def test_ids_are_those_of_the_library(library):
-    encoder = tokens.id_encoder(tokens.TOKENIZER)
-    got = [np.frombuffer(x, "<u4").tolist() for x in tokens.encoded(encoder, ODD * 2)]
-    assert got == [library.encode(x, add_special_tokens=False).ids for x in ODD * 2]
+    encoder = tokens.encoder_of(tokens.TOKENIZER)
+    want = [library.encode(x, add_special_tokens=False).ids for x in ODD * 2]
+    assert [x.tolist() for x in encoder.ids(pa.array(ODD * 2))] == want
+    assert encoder.counts(pa.array(["x", *ODD, *ODD])[1:]).tolist() == list(map(len, want))
+    assert [len(x) for x in encoder.ids(pa.array([None, "a"]))] == [0, 1] and list(encoder.ids(pa.array([], pa.string()))) == []
 
 
 def test_memory_is_bounded_and_harmless(library, monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_PIECES", 5)
-    encoder = tokens.Encoder(tokens.TOKENIZER, len, lambda ids, at: np.diff([*at, len(ids)]).tolist(), sum)
+    encoder = tokens.Encoder(tokens.TOKENIZER)
     texts = [f"word{i} and word{i % 3} again" for i in range(50)]
     for text in texts:
-        assert encoder.values([text]) == [len(library.encode(text).ids)]
+        assert encoder.counts(pa.array([text])).tolist() == [len(library.encode(text).ids)]
     assert len(encoder.memo) < 20
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_other_tokenizers_get_whole_texts(name):
-    encoder = tokens.count_encoder(name)
+    encoder = tokens.encoder_of(name)
     texts = ["Hello  World", "", "a b c"]
     if name.endswith(".json"):
         import tokenizers
@@ -42,7 +44,7 @@ def test_other_tokenizers_get_whole_texts(name):
         import sentencepiece
 
         want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=tokens.resolve(name)).encode(texts)]
-    assert list(tokens.encoded(encoder, texts)) == want
+    assert encoder.counts(pa.array(texts)).tolist() == want
 
 
 def test_count_tokens_of_odd_tables(spark, library):
