@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetspark.llm import html, mixing, packing, quality, tokenfiles, tokens
+from meetspark.llm import html, jaccard, mixing, packing, quality, tokenfiles, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked by their 5-word shingles."""
+    return jaccard.classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from the labels that are not held out."""
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -44,7 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {x.__name__: x for x in (op1_best_fit_packing, op4_html_extraction, op6_token_files, op7_mixing, op9_quality_classifier, op10_token_counts)}
+    return {x.__name__: x for x in (op1_best_fit_packing, op4_html_extraction, op6_token_files, op7_mixing, op8_ngram_jaccard, op9_quality_classifier, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
