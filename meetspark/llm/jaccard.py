@@ -13,7 +13,7 @@ every region lies in one component. So no link between components is missed, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,17 @@ from meetspark.llm.shingles import shingle_hashes, word_hashes
 SIZE, PERCENT, PIVOTS = 5, 80, 16
 
 
-def _shingled(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
-    for words in word_hashes(texts):
-        yield shingle_hashes(words, size)
+#: From UTF-8 texts to each one's set, as sorted distinct 64-bit hashes.
+Sets = Callable[[list[bytes]], Iterator[np.ndarray]]
+
+
+def word_sets(size: int = SIZE) -> Sets:
+    """Sets of runs of `size` words."""
+
+    def shingled(texts: list[bytes]) -> Iterator[np.ndarray]:
+        return (shingle_hashes(words, size) for words in word_hashes(texts))
+
+    return shingled
 
 
 def _keys(shingles: np.ndarray, ranges: int) -> np.ndarray:
@@ -56,7 +64,7 @@ def _node(shingles: np.ndarray, digest: type) -> bytes | None:
     return digest(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
-def prefixes(documents: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def prefixes(documents: DataFrame, id_col: str, text_col: str, sets_of: Sets, percent: int) -> DataFrame:
     """Rows of two kinds. kind 0, per document: id, n (its shingles), node. kind 1, per chunk and node with a prefix shingle that
     another document may hold: node, n, prefix (those shingles) and shingles (all)."""
     kind = documents.schema[id_col].dataType.simpleString()
@@ -64,7 +72,7 @@ def prefixes(documents: DataFrame, id_col: str, text_col: str, size: int, percen
     rows = dealt(documents, {"id": F.col(f"`{id_col}`"), "text": F.col(f"`{text_col}`")})
 
     def ask(table: pa.Table) -> pa.Table:
-        keys, counts = _distinct([_keys(x, ranges) for x in _shingled(bytes_of(table["text"]), size)])
+        keys, counts = _distinct([_keys(x, ranges) for x in sets_of(bytes_of(table["text"]))])
         cut = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32))
         blobs, more = [], []
         for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -94,7 +102,7 @@ def prefixes(documents: DataFrame, id_col: str, text_col: str, size: int, percen
     def choose(table: pa.Table, answers: pa.Table) -> pa.Table:
         from hashlib import blake2b
 
-        sets = list(_shingled(bytes_of(table["text"]), size)) if table.num_rows else []
+        sets = list(sets_of(bytes_of(table["text"]))) if table.num_rows else []
         own = [_keys(x, ranges) for x in sets]
         keys, _ = _distinct(own)
         levels = np.frombuffer(b"".join(answers.sort_by("range")["levels"].to_pylist()), np.uint8)
@@ -142,11 +150,11 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (shared / union).alias("likeness"), (100 * shared >= percent * union).alias("linked"))
 
 
-def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets_of: Sets | None = None, percent: int = PERCENT, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents (id, n, node), components (node, root) of nodes with links, and the links found (a, b, likeness)."""
     spark = documents.sparkSession
     bound_batches(spark)
-    every = materialise(prefixes(documents, id_col, text_col, size, percent), "prefixes")
+    every = materialise(prefixes(documents, id_col, text_col, sets_of or word_sets(), percent), "prefixes")
     docs = every.where("kind = 0").select("id", "n", "node")
     nodes = every.where("kind = 1").dropDuplicates(["node"])
     placed = nodes.select("node", "n", F.explode("prefix").alias("region"))
@@ -191,15 +199,15 @@ def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
         first = False
 
 
-def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets_of: Sets | None = None, percent: int = PERCENT) -> DataFrame:
     """A row per document: id, n_shingles, component_id (the smallest id that it reaches by links, its own included).
 
-    Documents link when their sets of shingles are at least percent/100 alike; equal sets of at least one shingle are linked.
+    sets_of makes the sets, of 5-word shingles unless given. Documents link when their sets are at least percent/100 alike; equal sets of at least one shingle are linked.
     Nulls: a null text has no shingles and is linked with nothing, as is an empty one; a null id takes part, and is no component's
     smallest id unless the component has no other. Rows of equal id and text are linked by their text. An empty table gives no
     rows. Further columns are not read. Texts of any length are used whole.
     """
-    docs, roots, _ = join_components(documents, id_col, text_col, size, percent)
+    docs, roots, _ = join_components(documents, id_col, text_col, sets_of, percent)
     least = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = least.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = least.join(lowest, "root").select("node", "component_id")

@@ -12,8 +12,10 @@ from meetspark.llm.common import balanced, mix64
 BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SEPARATOR = np.zeros(256, dtype=bool)
-_SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+#: By byte, whether it separates words: the six white space characters; or all of ASCII but letters and digits.
+WHITE = np.zeros(256, dtype=bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
+MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _CODES = mix64(np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint64) + np.uint64(0x51ED270B))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -28,18 +30,20 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """For each UTF-8 text, a 64-bit hash of each of its words, A-Z lower-cased; words are what stands between the six separators."""
+def word_hashes(texts: list[bytes], separators: np.ndarray = WHITE) -> Iterator[np.ndarray]:
+    """For each UTF-8 text, a 64-bit hash of each of its words, A-Z lower-cased; words are what stands between separators.
+
+    A word's hash is the difference of two running sums of its bytes' codes times powers of a base, moved to the first power.
+    """
     for part in balanced([len(x) + 1 for x in texts], BLOCK):
         some = texts[part]
         data = np.frombuffer(b"\n".join([b"", *some, b""]), np.uint8)
         up, down = _power_tables(len(data))
-        apart = _SEPARATOR[data]
+        apart = separators[data]
         edges = np.flatnonzero(apart[1:] != apart[:-1]) + 1
         starts, ends = edges[::2], edges[1::2]
         sums = np.cumsum(_CODES[data] * up[: len(data)], dtype=np.uint64)
         hashes = mix64((sums[ends - 1] - sums[starts - 1]) * down[starts] + (ends - starts).astype(np.uint64))
-        # starts - 1 is a separator, whose own term is in both sums' difference only once: sums[starts - 1] holds it
         bounds = np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in some]))
         yield from (hashes[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
 
