@@ -1,8 +1,8 @@
 """Document fingerprints by SpotSigs: a chain of content words after each common word is a signature.
 
 Common words of four languages are the anchors; a signature is an anchor and the CHAIN content words that follow it, whatever
-common words stand between. A text with few signatures also counts its words, so that short texts and tables are told apart. A
-fingerprint lists the distinct signatures as 32-bit hashes. Fingerprints are compared by Jaccard similarity, and pairs whose
+common words stand between. Content words with no common word shortly before them count by themselves, so that tables and
+lists have signatures too. A fingerprint lists the distinct signatures as 32-bit hashes. Fingerprints are compared by Jaccard similarity, and pairs whose
 lengths or remaining signatures can't reach a wanted likeness are given up early.
 """
 
@@ -21,8 +21,8 @@ from meetspark.llm import jaccard
 from meetspark.llm.common import bound_batches, partitions
 from meetspark.llm.shingles import MARKS, mix64, word_hashes
 
-#: Content words of a chain, and the signatures under which a text also counts its words.
-CHAIN, FEW = 2, 8
+#: Content words of a chain, and how many words after a common word the others begin to count by themselves.
+CHAIN, FAR = 2, 4
 #: The anchors: common words of English, French, German and Spanish.
 ANCHORS = (
     "a an and are as at be by for from has he in is it its of on or that the this to was were will with not but they you "
@@ -49,11 +49,13 @@ def signatures(texts: list[bytes]) -> Iterator[np.ndarray]:
         after, total = after[full], words[anchors[full]]
         for i in range(CHAIN):
             total = mix64(total + content[after + i] * np.uint64(2 * i + 3))
-        found = np.unique(total)
-        if len(found) < FEW:
+        place = np.arange(len(words))
+        alone = ~common & (place - np.maximum.accumulate(np.where(common, place, -FAR)) >= FAR)
+        found = np.concatenate([total, mix64(words[alone] + np.uint64(1))])
+        if not len(found):  # of common words, or of no words at all
             more = words if len(words) else np.array([int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")] if text else [], np.uint64)
-            found = np.unique(np.concatenate([found, mix64(more + np.uint64(1))]))
-        yield found
+            found = mix64(more + np.uint64(2))
+        yield np.unique(found)
 
 
 def packed(found: np.ndarray) -> str:
