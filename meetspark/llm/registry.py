@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetspark.llm import html, jaccard, mixing, packing, quality, spotsigs, tokenfiles, tokens
+from meetspark.llm import html, jaccard, mixing, neighbours, packing, quality, spotsigs, tokenfiles, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_articles(_table(spark, sf_dir, "pages"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector, among all vectors."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written to files and read back through their index."""
     return tokenfiles.round_trip(_table(spark, sf_dir, "documents"))
@@ -54,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {x.__name__: x for x in (op1_best_fit_packing, op2_document_fingerprints, op4_html_extraction, op6_token_files, op7_mixing, op8_ngram_jaccard, op9_quality_classifier, op10_token_counts)}
+    return {x.__name__: x for x in (op1_best_fit_packing, op2_document_fingerprints, op4_html_extraction, op5_nearest_neighbours, op6_token_files, op7_mixing, op8_ngram_jaccard, op9_quality_classifier, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
