@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from meetspark.llm.chunks import dealt
 from meetspark.llm.common import bound_batches, bytes_of, materialise, partitions
-from meetspark.llm.components import components
+from meetspark.llm.components import components, merged
 from meetspark.llm.shingles import shingle_hashes, word_hashes
 
 #: Words of a shingle; likeness of linked documents in hundredths; pivots of a region in a round.
-SIZE, PERCENT, PIVOTS = 5, 80, 16
+SIZE, PERCENT, PIVOTS = 5, 80, 64
 
 
 #: From UTF-8 texts to each one's set, as sorted distinct 64-bit hashes.
@@ -170,33 +170,32 @@ def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     star = star.join(sizes.select(F.col("node").alias("b"), "n"), "b").join(sizes.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").where(_alike(percent))
     tried = materialise(compared(star, held, percent), "compared")
     links = tried.where("linked").select("a", "b", "likeness")
-    far = (100 - percent) / 100
-    first = True
+    near = tried.select(F.col("a").alias("first"), F.col("b").alias("node"), (1 - F.col("likeness")).alias("far"))
+    roots = materialise(components(links), "roots")
+    reach = (100 - percent) / 100 + 1e-9
     while True:
-        roots = components(links.select("a", "b")) if not links.isEmpty() else spark.createDataFrame([], "node binary, root binary")
-        roots = materialise(roots, "roots")
         now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = now.groupBy("region").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("region")
-        now = materialise(now.join(open_, "region", "left_semi"), "open")
+        # How far each node is from its region's first pivot, where that is known.
+        now = now.join(open_, "region", "left_semi").join(near, ["first", "node"], "left").withColumn("far", F.when(F.col("node") == F.col("first"), 0.0).otherwise(F.col("far")))
+        now = materialise(now, "open")
         if now.isEmpty():
             return docs, roots, links
-        # How far each node is from its region's first pivot, where that is known.
-        near = tried.select(F.col("a").alias("first"), F.col("b").alias("node"), "likeness") if first else near  # noqa: F821
-        now = now.drop("likeness").join(near, ["first", "node"], "left").withColumn("far", F.when(F.col("node") == F.col("first"), 0.0).otherwise(1 - F.col("likeness"))).drop("likeness")
-        parts = now.groupBy("region", "root").agg(F.count(F.lit(1)).alias("k"))
-        major = parts.groupBy("region").agg(F.max(F.struct("k", "root")).getField("root").alias("major"))
-        turn = Window.partitionBy("region").orderBy("node")
-        minor = now.join(major, "region").where(F.col("root") != F.col("major")).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= pivots)
+        major = now.groupBy("region", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("region").agg(F.max(F.struct("k", "root")).getField("root").alias("major"))
+        turn = F.row_number().over(Window.partitionBy("region").orderBy("node"))
+        minor = now.join(major, "region").where(F.col("root") != F.col("major")).withColumn("turn", turn).where(F.col("turn") <= pivots)
         minor = materialise(minor.select("region", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("root_a"), F.col("far").alias("far_a")), "pivots")
-        window = F.coalesce(F.abs(F.col("far") - F.col("far_a")) <= far + 1e-9, F.lit(True))
+        window = F.coalesce(F.abs(F.col("far") - F.col("far_a")) <= reach, F.lit(True))
         pairs = now.join(minor, "region").where((F.col("root") != F.col("root_a")) & _alike(percent) & window)
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         found = materialise(compared(pairs, held, percent), "compared")
         tried = tried.unionByName(found)
-        links = materialise(links.unionByName(found.where("linked").select("a", "b", "likeness")), "links")
-        members = materialise(now.select("region", "node", "n", "first").join(minor.select("region", F.col("a").alias("node")), ["region", "node"], "left_anti"), "regions")
-        first = False
+        more = found.where("linked").select("a", "b", "likeness")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = materialise(merged(roots, more), "roots")
+        members = now.select("region", "node", "n", "first").join(minor.select("region", F.col("a").alias("node")), ["region", "node"], "left_anti")
 
 
 def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets_of: Sets | None = None, percent: int = PERCENT) -> DataFrame:

@@ -53,13 +53,20 @@ def test_components_match_brute_force(spark, seed, near):
     assert got == brute(docs)
 
 
-def test_chain_and_rounds(spark, monkeypatch):
+@pytest.mark.parametrize("pivots", [2, 64])
+def test_chain_and_rounds(spark, pivots):
     """Each document is near the next only, and all share shingles: one pivot is not enough."""
     words = [f"c{i}" for i in range(400)]
     docs = [(100 - i, " ".join(words[i * 6 : i * 6 + 90])) for i in range(50)]
     docs += [(200 + i, " ".join(words[: 60 + 4 * i])) for i in range(12)]
     table = spark.createDataFrame(docs, "doc_id long, text string")
-    assert sorted((tuple(r) for r in jaccard.classes(table).collect()), key=str) == brute(docs)
+    found, roots, links = jaccard.join_components(table, pivots=pivots)
+    node, root = {r.id: r.node for r in found.collect()}, {r.node: r.root for r in roots.collect()}
+    want = {k: c for k, _, c in brute(docs)}
+    for k in node:
+        for m in node:
+            assert (root.get(node[k], node[k]) == root.get(node[m], node[m])) == (want[k] == want[m])
+    assert all(r.likeness >= 0.8 for r in links.collect())
 
 
 def test_nothing(spark):
