@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Word separators of the contracts: space and the control characters tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -55,6 +56,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def key_bounds(rows: DataFrame, parts: int, key: str = "key") -> tuple[np.ndarray, int | None]:
+    """Ascending bounds that cut rows into `parts` ranges of about as many rows by a 64-bit key, and the least key. Reads the key alone."""
+    found = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [1.0], 100 * parts).alias("bounds"), F.min(key).alias("least")).first()
+    return np.unique(np.array(found.bounds or [], dtype=np.int64)), found.least
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of a string column; null is the empty text."""
     return [x or "" for x in column.to_pylist()]

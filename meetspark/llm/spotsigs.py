@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meetspark.llm import jaccard
-from meetspark.llm.common import bound_batches, partitions
+from meetspark.llm.common import bound_batches, key_bounds, partitions
 from meetspark.llm.shingles import MARKS, mix64, word_hashes
 
 #: Content words of a chain, and how many words after a common word the others begin to count by themselves.
@@ -97,8 +97,7 @@ def with_next(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), key.alias("key"))
     n = partitions(spark)
     parts = min(BUCKETS, PER_PARTITION * n)
-    found = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("bounds"), F.min("key").alias("least")).first()
-    bounds, least = np.unique(np.array(found.bounds or [], dtype=np.int64)), found.least
+    bounds, least = key_bounds(rows, parts)
     last = len(bounds)
 
     @F.arrow_udf("long")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meetspark.llm import perfect_hash, tokens
-from meetspark.llm.common import bound_batches, partitions, scratch_path
+from meetspark.llm.common import bound_batches, key_bounds, partitions, scratch_path
 
 MAGIC = b"MSTOK001"
 HEADER = "<8sIIQQ"  # magic, file number, bytes of an id, documents, ids
@@ -83,28 +83,39 @@ def write(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Encode all texts and write ids and index under path.
 
     Nulls: a null text is empty (the end id alone); rows of null id come first, are written, and have no key in the index. Rows
-    of equal id stand together, ordered by text, under one key. An empty table writes no documents. Further columns are not read.
+    of equal id stand together, ordered by their ids' bytes, under one key. An empty table writes no documents. Further columns are not read.
     """
     spark = documents.sparkSession
     bound_batches(spark)
 
+    n = partitions(spark)
+    source = documents.select(_key(F.col(f"`{id_col}`"), documents.schema[id_col].dataType).alias("key"), F.col(f"`{text_col}`").alias("text"))
+    bounds, _ = key_bounds(source.where("key IS NOT NULL"), n)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, width = tokens.encoder_of(tokenizer), _width(tokenizer)
         end = np.array([end_id], dtype=f"<u{width}").tobytes()
+        for batch in batches:
+            keys = batch.column(0)
+            files = np.where(keys.is_null(), 0, np.searchsorted(bounds, keys.fill_null(0).to_numpy(), "right")).astype(np.int32)
+            ids = pa.array([x.astype(f"<u{width}").tobytes() + end for x in encoder.ids(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(files), keys, ids], names=["file", "key", "ids"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = _width(tokenizer)
         keys, lengths, ids = [], [], []
         for batch in batches:
             keys += batch.column(0).to_pylist()
-            for x in encoder.ids(batch.column(1)):
-                lengths.append(len(x) + 1)
-                ids += [x.astype(f"<u{width}").tobytes(), end]
+            some = batch.column(1).to_pylist()
+            lengths += [len(x) // width for x in some]
+            ids.append(b"".join(some))
         if keys:
-            number = TaskContext.get().partitionId()
-            head = [struct.pack(HEADER, MAGIC, number, width, len(keys), sum(lengths)), np.array([x or 0 for x in keys], dtype="<i8").tobytes(), np.array(lengths, dtype="<u4").tobytes(), np.array([x is not None for x in keys], dtype=np.uint8).tobytes()]
+            head = [struct.pack(HEADER, MAGIC, TaskContext.get().partitionId(), width, len(keys), sum(lengths)), np.array([x or 0 for x in keys], dtype="<i8").tobytes(), np.array(lengths, dtype="<u4").tobytes(), np.array([x is not None for x in keys], dtype=np.uint8).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(head + ids)], pa.binary())], names=["data"])
 
-    source = documents.select(_key(F.col(f"`{id_col}`"), documents.schema[id_col].dataType).alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    ordered = source.repartitionByRange(partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    _save(ordered.select("key", "text").mapInArrow(encode, "data binary"), f"{path}/ids")
+    # Encoded where it is read; then each range of keys goes to the partition of its number and becomes a file.
+    coded = source.mapInArrow(encode, "file int, key long, ids binary").repartitionById(n, F.col("file"))
+    _save(coded.sortWithinPartitions(F.col("key").asc_nulls_first(), "ids").select("key", "ids").mapInArrow(pack, "data binary"), f"{path}/ids")
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +132,6 @@ def write(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         data = perfect_hash.build(keys, values)
         return pa.table({"data": pa.array([struct.pack("<I", table["bucket"][0].as_py()) + data], pa.binary())})
 
-    n = partitions(spark)
     found = _load(spark, f"{path}/ids").mapInArrow(entries, "key long, file long, place long, rows long")
     buckets = found.withColumn("bucket", _bucket(n)).groupBy("bucket").applyInArrow(hashed, "data binary")
     _save(buckets.repartition(n), f"{path}/index")

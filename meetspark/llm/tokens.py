@@ -23,7 +23,7 @@ from meetspark.llm.common import balanced, bound_batches, texts_of
 #: The vocabulary file of the contracts, and the id that ends each document.
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: UTF-8 bytes of texts that are encoded together, and distinct pieces that a worker remembers.
-BATCH_BYTES, MEMO_PIECES = 3 << 20, 150_000
+BATCH_BYTES, MEMO_PIECES = 3 << 20, 200_000
 
 
 def resolve(name: str) -> str:

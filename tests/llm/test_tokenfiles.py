@@ -40,8 +40,8 @@ def test_round_trip(spark, library, tmp_path):
     table = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS start", "2 AS key")
     got = tokenfiles.round_trip(table, path=f"{tmp_path}/tokens").collect()
     start, want = 0, []
-    for i, text in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
-        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+    coded = [(i, np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")) for i, text in docs]
+    for i, ids in sorted(coded, key=lambda x: (x[0] is not None, x[0] or 0, x[1].astype("<u2").tobytes())):
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(map(tuple, got), key=lambda x: x[1]) == want
