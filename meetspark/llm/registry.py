@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetspark.llm import html, jaccard, mixing, neighbours, packing, quality, spotsigs, tokenfiles, tokens
+from meetspark.llm import contexttree, html, jaccard, mixing, neighbours, packing, quality, spotsigs, tokenfiles, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a language model of those that are not held out."""
+    return contexttree.language_scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html.extract_articles(_table(spark, sf_dir, "pages"))
@@ -59,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {x.__name__: x for x in (op1_best_fit_packing, op2_document_fingerprints, op4_html_extraction, op5_nearest_neighbours, op6_token_files, op7_mixing, op8_ngram_jaccard, op9_quality_classifier, op10_token_counts)}
+    return {x.__name__: x for x in (op1_best_fit_packing, op2_document_fingerprints, op3_language_scores, op4_html_extraction, op5_nearest_neighbours, op6_token_files, op7_mixing, op8_ngram_jaccard, op9_quality_classifier, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
