@@ -5,15 +5,17 @@ nothing apart; so the first regions are those of single shingles: two sets at le
 first n - ceil(t n) + 1 shingles of each, in any order of all shingles. The order here puts every second shingle by hash
 before the others, the rarest first, which keeps passages that many documents share out of the regions. Regions of one
 node vanish. A region then gets a pivot, its smallest node; each node is compared with one of its pivots, and links join nodes into
-components. Regions that lie in one component are done, however many documents they hold. The others are joined again, round after
-round: the nodes outside a region's largest component become pivots, and are compared with the nodes of other components
-whose distances from the first pivot lie in the triangle inequality's window. Pivots leave their regions; the join ends when
-every region lies in one component. So no link between components is missed, and no group is expanded into all its pairs.
+components. Regions that lie in one component are done, however many documents they hold. In the others, the nodes outside the
+largest component become pivots, and are compared with the nodes of other components whose distances from the first pivot
+lie in the triangle inequality's window. Large ones of the same first pivot are put together and joined block by block,
+in rings around that pivot as wide as the window, boundary blocks going to both rings. So no link between components is missed, and no
+group is expanded into all its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,9 @@ from meetspark.llm.common import bound_batches, bytes_of, materialise, partition
 from meetspark.llm.components import components, merged
 from meetspark.llm.shingles import shingle_hashes, word_hashes
 
-#: Words of a shingle; likeness of linked documents in hundredths; pivots of a region in a round.
-SIZE, PERCENT, PIVOTS = 5, 80, 64
+#: Words of a shingle; likeness of linked documents in hundredths; nodes outside the largest component above which a region
+#: is joined in blocks; nodes of a block.
+SIZE, PERCENT, PIVOTS, BLOCK = 5, 80, 32, 256
 
 
 #: From UTF-8 texts to each one's set, as sorted distinct 64-bit hashes.
@@ -60,8 +63,9 @@ def _level(count: np.ndarray) -> np.ndarray:
     return np.where(count <= 127, count, np.minimum(255, 127 + np.round(8 * np.log2(np.maximum(count, 1) / 127)))).astype(np.uint8)
 
 
-def _node(shingles: np.ndarray, digest: type) -> bytes | None:
-    return digest(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+def _node(shingles: np.ndarray) -> int | None:
+    """A set's 64-bit digest; the empty set is no node."""
+    return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True) if len(shingles) else None
 
 
 def prefixes(documents: DataFrame, id_col: str, text_col: str, sets_of: Sets, percent: int) -> DataFrame:
@@ -100,13 +104,11 @@ def prefixes(documents: DataFrame, id_col: str, text_col: str, sets_of: Sets, pe
         return pa.table({"chunk": table["chunk"], "range": table["range"], "levels": pa.array([levels[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
     def choose(table: pa.Table, answers: pa.Table) -> pa.Table:
-        from hashlib import blake2b
-
         sets = list(sets_of(bytes_of(table["text"]))) if table.num_rows else []
         own = [_keys(x, ranges) for x in sets]
         keys, _ = _distinct(own)
         levels = np.frombuffer(b"".join(answers.sort_by("range")["levels"].to_pylist()), np.uint8)
-        nodes = [_node(x, blake2b) for x in sets]
+        nodes = [_node(x) for x in sets]
         seen, found, prefix, whole = set(), [], [], []
         for shingles, some, node in zip(sets, own, nodes, strict=True):
             n = len(shingles)
@@ -128,11 +130,11 @@ def prefixes(documents: DataFrame, id_col: str, text_col: str, sets_of: Sets, pe
         rest, more = table.num_rows, len(found)
         lists = lambda x: pa.array([None] * rest + x, pa.list_(pa.int64()))
         ids = pa.concat_arrays([*table["id"].cast(table["id"].type).chunks, pa.nulls(more, table["id"].type)]) if table.num_rows else pa.nulls(more, table["id"].type)
-        return pa.table({"kind": pa.array([0] * rest + [1] * more, pa.int32()), "id": ids, "n": pa.array([len(x) for x in sets] + [n for _, n in found], pa.int64()), "node": pa.array(nodes + [x for x, _ in found], pa.binary()), "prefix": lists(prefix), "shingles": lists(whole)})
+        return pa.table({"kind": pa.array([0] * rest + [1] * more, pa.int32()), "id": ids, "n": pa.array([len(x) for x in sets] + [n for _, n in found], pa.int64()), "node": pa.array(nodes + [x for x, _ in found], pa.int64()), "prefix": lists(prefix), "shingles": lists(whole)})
 
     asked = rows.groupBy("chunk").applyInArrow(ask, "chunk int, range int, keys binary, more binary")
     answers = asked.groupBy("range").applyInArrow(answer, "chunk int, range int, levels binary")
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(choose, f"kind int, id {kind}, n long, node binary, prefix array<long>, shingles array<long>")
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(choose, f"kind int, id {kind}, n long, node long, prefix array<long>, shingles array<long>")
 
 
 def _alike(percent: int) -> Column:
@@ -172,30 +174,95 @@ def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     links = tried.where("linked").select("a", "b", "likeness")
     near = tried.select(F.col("a").alias("first"), F.col("b").alias("node"), (1 - F.col("likeness")).alias("far"))
     roots = materialise(components(links), "roots")
+    now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = now.groupBy("region", "root").agg(F.count(F.lit(1)).alias("k"))
+    parts = parts.groupBy("region").agg(F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    parts = parts.select("region", F.col("most.root").alias("major"), (F.col("k") - F.col("most.k")).alias("minors"))
+    # How far each node is from its region's first pivot, where that is known.
+    now = now.join(parts, "region").join(near, ["first", "node"], "left").withColumn("far", F.when(F.col("node") == F.col("first"), 0.0).otherwise(F.col("far")))
+    now = materialise(now.withColumn("minor", F.col("root") != F.col("major")).drop("major"), "open")
+    if now.isEmpty():
+        return docs, roots, links
+
+    small = now.where(F.col("minors") <= pivots)
+    minor = small.where("minor").select("region", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("root_a"), F.col("far").alias("far_a"))
+    window = F.coalesce(F.abs(F.col("far") - F.col("far_a")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
+    pairs = small.join(minor, "region").where((F.col("root") != F.col("root_a")) & _alike(percent) & window)
+    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    found = materialise(compared(pairs, held, percent), "compared").where("linked").select("a", "b", "likeness")
+    large = now.where(F.col("minors") > pivots).groupBy("first", "node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.first("far").alias("far"), F.max("minor").alias("minor"))
+    if not large.isEmpty():
+        found = found.unionByName(materialise(block_join(materialise(large, "large"), held, percent), "blocks"))
+    return docs, materialise(merged(roots, found), "roots"), links.unionByName(found)
+
+
+def block_join(members: DataFrame, held: DataFrame, percent: int, rows: int = BLOCK) -> DataFrame:
+    """Links between components in large regions (first, node, n, root, far, minor), each region in blocks of about `rows` nodes.
+
+    Blocks lie in rings around the first pivot, as wide as linked nodes can differ in their distance from it. A block of nodes
+    outside the largest component meets the blocks of its own ring and the rings beside it, and those whose distance is not known. A task
+    holds two blocks, and returns as many links as join the components it sees, never all pairs.
+    """
     reach = (100 - percent) / 100 + 1e-9
-    while True:
-        now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = now.groupBy("region").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("region")
-        # How far each node is from its region's first pivot, where that is known.
-        now = now.join(open_, "region", "left_semi").join(near, ["first", "node"], "left").withColumn("far", F.when(F.col("node") == F.col("first"), 0.0).otherwise(F.col("far")))
-        now = materialise(now, "open")
-        if now.isEmpty():
-            return docs, roots, links
-        major = now.groupBy("region", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("region").agg(F.max(F.struct("k", "root")).getField("root").alias("major"))
-        turn = F.row_number().over(Window.partitionBy("region").orderBy("node"))
-        minor = now.join(major, "region").where(F.col("root") != F.col("major")).withColumn("turn", turn).where(F.col("turn") <= pivots)
-        minor = materialise(minor.select("region", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("root_a"), F.col("far").alias("far_a")), "pivots")
-        window = F.coalesce(F.abs(F.col("far") - F.col("far_a")) <= reach, F.lit(True))
-        pairs = now.join(minor, "region").where((F.col("root") != F.col("root_a")) & _alike(percent) & window)
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        found = materialise(compared(pairs, held, percent), "compared")
-        tried = tried.unionByName(found)
-        more = found.where("linked").select("a", "b", "likeness")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = materialise(merged(roots, more), "roots")
-        members = now.select("region", "node", "n", "first").join(minor.select("region", F.col("a").alias("node")), ["region", "node"], "left_anti")
+    ring = F.coalesce(F.floor(F.col("far") / reach).cast("int"), F.lit(-1))
+    members = members.withColumn("ring", ring)
+    counts = members.groupBy("first", "minor", "ring").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("blocks"))
+    placed = members.join(counts, ["first", "minor", "ring"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.join(held.select("node", "shingles"), "node").select("first", "minor", "ring", "block", "node", "n", "root", "shingles")
+    block = F.struct("minor", "ring", "block")
+    blocks = counts.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("first", block.alias("block"))
+    left, right = blocks.where("block.minor").withColumnRenamed("block", "p"), blocks.withColumnRenamed("block", "q")
+    beside = (F.abs(F.col("p.ring") - F.col("q.ring")) <= 1) | (F.col("p.ring") < 0) | (F.col("q.ring") < 0)
+    meets = left.join(right, "first").where(beside & (~F.col("q.minor") | (F.col("p") <= F.col("q"))))
+    own = placed.select("first", block.alias("block"), "node", "n", "root", "shingles")
+    side = lambda x: own.withColumnRenamed("block", x).join(meets, ["first", x]).select(F.xxhash64("first", "p", "q").alias("meet"), *(F.col(c).alias(c) for c in ("node", "n", "root", "shingles")))
+
+    def joined(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, float]] = []
+        if a.num_rows and b.num_rows:
+            sets = [[np.sort(x) for x in np.split(t["shingles"].combine_chunks().flatten().to_numpy(), np.cumsum(t["shingles"].combine_chunks().value_lengths().to_numpy())[:-1])] for t in (a, b)]
+            shared = overlaps(*sets)
+            sizes, nodes, roots = ([t[x].to_numpy() for t in (a, b)] for x in ("n", "node", "root"))
+            union = sizes[0][:, None] + sizes[1][None] - shared
+            linked = (100 * shared >= percent * union) & (roots[0][:, None] != roots[1][None])
+            joins: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while joins.get(x, x) != x:
+                    x = joins[x]
+                return x
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+                p, q = top(int(roots[0][i])), top(int(roots[1][j]))
+                if p != q:
+                    joins[max(p, q)] = min(p, q)
+                    out.append((int(nodes[0][i]), int(nodes[1][j]), float(shared[i, j] / union[i, j])))
+        return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())))})
+
+    return side("p").groupBy("meet").cogroup(side("q").groupBy("meet")).applyInArrow(joined, "a long, b long, likeness double")
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all sets of b, by products of 0/1 matrices over slices of a's elements."""
+    of = lambda x: (np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x]))
+    (left, row), (right, column) = of(a), of(b)
+    elements = np.unique(left)
+    at, other = np.searchsorted(elements, left), np.searchsorted(elements, right)
+    known = other < len(elements)
+    known[known] = elements[other[known]] == right[known]
+    other, column = other[known], column[known]
+    out = np.zeros((len(a), len(b)), np.float32)
+    order, other_order = np.argsort(at, kind="stable"), np.argsort(other, kind="stable")
+    at, row, other, column = at[order], row[order], other[other_order], column[other_order]
+    for start in range(0, len(elements), width):
+        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        i, j = np.searchsorted(at, [start, start + width])
+        x[row[i:j], at[i:j] - start] = 1
+        i, j = np.searchsorted(other, [start, start + width])
+        y[column[i:j], other[i:j] - start] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
 
 
 def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets_of: Sets | None = None, percent: int = PERCENT) -> DataFrame:

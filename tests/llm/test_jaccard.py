@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from meetspark.llm import common, jaccard
@@ -53,7 +54,7 @@ def test_components_match_brute_force(spark, seed, near):
     assert got == brute(docs)
 
 
-@pytest.mark.parametrize("pivots", [2, 64])
+@pytest.mark.parametrize("pivots", [0, 2, 64])
 def test_chain_and_rounds(spark, pivots):
     """Each document is near the next only, and all share shingles: one pivot is not enough."""
     words = [f"c{i}" for i in range(400)]
@@ -69,6 +70,34 @@ def test_chain_and_rounds(spark, pivots):
     assert all(r.likeness >= 0.8 for r in links.collect())
 
 
+def test_overlaps():
+    rng = random.Random(3)
+    a, b = ([np.array(sorted(rng.sample(range(60), rng.randint(1, 30)))) for _ in range(n)] for n in (7, 9))
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+    assert jaccard.overlaps(a, b, 16).tolist() == want
+
+
+def test_near_copies_below_the_limit_in_blocks(spark, monkeypatch):
+    """Many copies of one text, most of them too far from each other: more pivots than a small region has."""
+    rng = random.Random(4)
+    base = [f"t{i}" for i in range(150)]
+    docs = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 4, 5, 6, 7, 8])):
+            words[at] = f"x{rng.randint(0, 10**6)}"
+        docs.append((i, " ".join(words)))
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found, roots, _ = jaccard.join_components(table, pivots=3)
+    got, node = {r.node: r.root for r in roots.collect()}, {r.id: r.node for r in found.collect()}
+    want = {k: c for k, _, c in brute(docs)}
+    assert len(set(want.values())) > 3
+    for k in node:
+        for m in node:
+            assert (got.get(node[k], node[k]) == got.get(node[m], node[m])) == (want[k] == want[m])
+
+
 def test_nothing(spark):
     assert jaccard.classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert [tuple(r) for r in jaccard.classes(spark.createDataFrame([(3, None)], "doc_id long, text string")).collect()] == [(3, 0, 3)]
