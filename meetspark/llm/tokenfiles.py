@@ -24,6 +24,8 @@ from meetspark.llm import perfect_hash, tokens
 from meetspark.llm.common import bound_batches, key_bounds, partitions, scratch_path
 
 MAGIC = b"MSTOK001"
+#: Bytes of texts that are encoded at once, beside tasks that sort and write.
+BATCH_BYTES = 3 << 20
 HEADER = "<8sIIQQ"  # magic, file number, bytes of an id, documents, ids
 
 
@@ -98,7 +100,7 @@ def write(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             keys = batch.column(0)
             files = np.where(keys.is_null(), 0, np.searchsorted(bounds, keys.fill_null(0).to_numpy(), "right")).astype(np.int32)
-            ids = pa.array([x.astype(f"<u{width}").tobytes() + end for x in encoder.ids(batch.column(1))], pa.binary())
+            ids = pa.array([x.astype(f"<u{width}").tobytes() + end for x in encoder.ids(batch.column(1), BATCH_BYTES)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(files), keys, ids], names=["file", "key", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from meetspark.llm.common import balanced, bound_batches, texts_of
 #: The vocabulary file of the contracts, and the id that ends each document.
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: UTF-8 bytes of texts that are encoded together, and distinct pieces that a worker remembers.
-BATCH_BYTES, MEMO_PIECES = 3 << 20, 200_000
+BATCH_BYTES, MEMO_PIECES = 8 << 20, 200_000
 
 
 def resolve(name: str) -> str:
@@ -129,9 +129,9 @@ class Encoder:
             out.append(np.add.reduceat(n[order], np.cumsum(pieces) - pieces))
         return np.concatenate(out)
 
-    def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
+    def ids(self, column: pa.Array, batch_bytes: int = BATCH_BYTES) -> Iterator[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        for part in balanced(_sizes(column), BATCH_BYTES):
+        for part in balanced(_sizes(column), batch_bytes):
             values, order, pieces = self.pieces(column[part])
             n = np.fromiter(map(len, values), np.int64, len(values)) // 4
             table, start = np.frombuffer(b"".join(values), "<u4"), np.cumsum(n) - n
