@@ -2,10 +2,255 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meetspark import sources
+from meetspark.operators import frame
+from meetspark.plans import builtin_queries
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+LINEITEM = """
+import "math"
+#Flag: "A" | "R"
+l_orderkey: int & >0
+l_quantity: >=1 & <=40
+l_discount: >=0 & <=0.08
+l_tax: number
+l_returnflag: #Flag
+l_linestatus: =~"^[FO]$"
+l_linenumber: int & >=1 & math.MultipleOf(1)
+note?: string
+"""
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(run: Query) -> Query:
+        _QUERIES[run.__name__] = run
+        if sql:
+            _SQL[run.__name__] = sql
+        return run
+
+    return add
+
+
+# ---------------------------------------------------------------- validation
+
+
+@query("""
+SELECT '$.l_quantity' AS path, 'eval.numeric_bound_mismatch' AS cause, count(*) AS n FROM lineitem WHERE l_quantity < 1 OR l_quantity > 40 HAVING count(*) > 0
+UNION ALL SELECT '$.l_orderkey', 'eval.numeric_bound_mismatch', count(*) FROM lineitem WHERE l_orderkey <= 0 HAVING count(*) > 0
+UNION ALL SELECT '$.l_discount', 'eval.numeric_bound_mismatch', count(*) FROM lineitem WHERE l_discount < 0 OR l_discount > 0.08 HAVING count(*) > 0
+UNION ALL SELECT '$.l_returnflag', 'eval.conflict', count(*) FROM lineitem WHERE l_returnflag NOT IN ('A', 'R') HAVING count(*) > 0
+UNION ALL SELECT '$.l_linestatus', 'eval.regex_mismatch', count(*) FROM lineitem WHERE NOT regexp_matches(l_linestatus, '^[FO]$') HAVING count(*) > 0""")
+def vet_lineitem_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.summary(_t(spark, sf_dir, "lineitem"), LINEITEM)
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 1 AND 40 AND l_discount BETWEEN 0 AND 0.08 AND l_returnflag IN ('A', 'R') AND regexp_matches(l_linestatus, '^[FO]$') AND l_orderkey > 0")
+def vet_valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.valid_rows(_t(spark, sf_dir, "lineitem"), LINEITEM).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT p_partkey, (p_size % 2 <> 0 OR p_size < 5)::BIGINT AS bad FROM part")
+def vet_bounds_and_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.vet(_t(spark, sf_dir, "part").select("p_partkey", "p_size"), 'import "math"\np_size: math.MultipleOf(2) & >=5').select("p_partkey", F.size("_violations").cast("long").alias("bad"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'F') THEN NULL ELSE 'eval.conflict' END AS cause FROM orders")
+def vet_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.vet(_t(spark, sf_dir, "orders"), 'o_orderstatus: "O" | "F"').select("o_orderkey", F.get("_violations", F.lit(0))["cause"].alias("cause"))
+
+
+@query("SELECT c_custkey, CASE WHEN length(c_name) > 12 THEN 'eval.string_constraint_mismatch' WHEN NOT regexp_matches(c_name, '[02468]$') THEN 'eval.regex_mismatch' END AS cause FROM customer")
+def vet_runes_and_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.vet(_t(spark, sf_dir, "customer"), 'import "strings"\nc_name: strings.MaxRunes(12) & =~"[02468]$"', all_errors=False).select("c_custkey", F.get("_violations", F.lit(0))["cause"].alias("cause"))
+
+
+@query("SELECT 'eval.kind_conflict' AS cause, count(*) AS n FROM part")
+def vet_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.summary(_t(spark, sf_dir, "part"), "p_retailprice: int\np_size: int\np_name: string").select("cause", "n")
+
+
+@query("SELECT s_suppkey, (s_acctbal IS NULL OR s_acctbal < 0)::BIGINT + (CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS bad FROM supplier")
+def vet_required_and_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "supplier").withColumn("tier", F.when(F.col("s_suppkey") % 3 != 0, F.lit("gold"))).withColumn("note", F.lit(None).cast("string"))
+    return frame.vet(df, 's_acctbal: >=0\ntier!: string\nnote?: "x"').select("s_suppkey", F.size("_violations").cast("long").alias("bad"))
+
+
+@query("SELECT event_id, (len(list_filter(json_keys(props), lambda x: x NOT IN ('k', 'v'))) > 0) AS extra, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) > 50, false) AS above FROM events")
+def vet_closed_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,long>").alias("props"))
+    found = frame.vet(df, "#P: {k?: <=50, v?: int}\nprops: #P")
+    has = lambda cause: F.exists("_violations", lambda x: x["cause"] == cause)
+    return found.select("event_id", has("eval.closed_struct").alias("extra"), has("eval.numeric_bound_mismatch").alias("above"))
+
+
+@query("SELECT event_id, coalesce(len(list_filter(json_keys(props), lambda x: regexp_matches(x, '^k') AND CAST(json_extract_string(props, '$.' || x) AS BIGINT) >= 20)) > 0, false) AS bad FROM events")
+def vet_pattern_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,long>").alias("props"))
+    return frame.vet(df, 'props: {[=~"^k"]: <20}').select("event_id", (F.size("_violations") > 0).alias("bad"))
+
+
+@query("""
+SELECT conv_id, CASE WHEN len(r) < 2 THEN 'eval.list_length_conflict' WHEN r[1] NOT IN ('user', 'system') THEN 'eval.conflict' WHEN len(list_filter(r[3:], lambda x: x NOT IN ('user', 'assistant'))) > 0 THEN 'eval.conflict' END AS cause
+FROM (SELECT conv_id, list(role ORDER BY turn, text) AS r FROM conversations GROUP BY conv_id) t""")
+def vet_open_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text", "role"))).alias("t")).select("conv_id", F.transform("t", lambda x: x["role"]).alias("roles"))
+    return frame.vet(turns, 'roles: ["user" | "system", _, ...("user" | "assistant")]', all_errors=False).select("conv_id", F.get("_violations", F.lit(0))["cause"].alias("cause"))
+
+
+@query("SELECT o_orderkey, NOT ((o_orderstatus = 'F' AND o_totalprice < 150000) OR (o_orderstatus = 'O' AND o_totalprice >= 100000)) AS bad FROM orders")
+def vet_struct_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "orders").select("o_orderkey", F.struct("o_orderstatus", "o_totalprice").alias("o"))
+    return frame.vet(df, 'o: {o_orderstatus: "F", o_totalprice: <150000} | {o_orderstatus: "O", o_totalprice: >=100000}').select("o_orderkey", (F.size("_violations") > 0).alias("bad"))
+
+
+@query("SELECT p_partkey, (p_size < 10 OR p_size > 30)::BIGINT AS bad FROM part")
+def vet_unified_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.vet(_t(spark, sf_dir, "part"), "p_size: >=10", "p_size: int & <=30").select("p_partkey", F.size("_violations").cast("long").alias("bad"))
+
+
+@query("SELECT n_nationkey, (NOT regexp_matches(n_name, '^NATION_') OR n_regionkey > 3)::BIGINT AS bad FROM nation")
+def vet_nested_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "nation").select("n_nationkey", F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("n"))
+    return frame.vet(df, '#N: {name: =~"^NATION_", region: int & <=3}\nn: #N').select("n_nationkey", F.least(F.size("_violations"), F.lit(1)).cast("long").alias("bad"))
+
+
+# ---------------------------------------------------------------- conforming, merging, selecting
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'OTHER' ELSE c_mktsegment END AS c_mktsegment, 1::BIGINT AS level FROM customer")
+def conform_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return frame.conform(df, 'c_mktsegment: *"OTHER" | string\nlevel: *1 | int')
+
+
+@query("SELECT o_orderkey, o_totalprice > 100000 AS big, CASE WHEN o_totalprice > 100000 THEN o_orderpriority || '!' ELSE o_orderpriority || '?' END AS tag FROM orders")
+def conform_deferred_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    out = frame.conform(df, 'o_totalprice: number\no_orderpriority: string\nbig: *(o_totalprice > 100000) | bool\nmark: *["?", "!"][len([for x in [big] if x {x}])] | string\ntag: *(o_orderpriority + mark) | string')
+    return out.select("o_orderkey", "big", "tag")
+
+
+@query("""
+SELECT coalesce(c.c_custkey, o.k) AS c_custkey, coalesce(c.balance, o.balance) AS balance, coalesce(c.balance <> o.balance, false) AS clash
+FROM (SELECT c_custkey, round(c_acctbal) AS balance FROM customer WHERE c_custkey % 3 <> 0) c FULL OUTER JOIN
+     (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 0.0 ELSE round(c_acctbal) END AS balance FROM customer WHERE c_custkey % 2 = 0) o ON c.c_custkey = o.k""")
+def unify_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer").select("c_custkey", F.round("c_acctbal").alias("balance"))
+    right = c.where("c_custkey % 2 = 0").withColumn("balance", F.when(F.col("c_custkey") % 5 == 0, 0.0).otherwise(F.col("balance")))
+    return frame.unify(c.where("c_custkey % 3 != 0"), right, ["c_custkey"]).select("c_custkey", "balance", (F.size("_conflicts") > 0).alias("clash"))
+
+
+@query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS status, count(DISTINCT o_orderstatus) > 1 AS clash FROM orders GROUP BY o_custkey")
+def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("status"))
+    return frame.merge(df, ["o_custkey"]).select("o_custkey", "status", (F.size("_conflicts") > 0).alias("clash"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def lookup_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "events").select("event_id", sources.variant(F.col("props")).alias("props"))
+    return df.select("event_id", frame.lookup(df, "props.k").cast("long").alias("k"))
+
+
+@query("SELECT vec_id, embedding[1]::DOUBLE AS first, embedding[4]::DOUBLE AS fourth FROM embeddings")
+def lookup_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "embeddings")
+    return df.select("vec_id", frame.lookup(df, "embedding[0]").cast("double").alias("first"), frame.lookup(df, "embedding[3]").cast("double").alias("fourth"))
+
+
+@query("SELECT n_name || '-' || n_regionkey AS label, 'r' || (n_regionkey + 1) AS next FROM nation")
+def interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.select_expr(_t(spark, sf_dir, "nation"), label='"\\(n_name)-\\(n_regionkey)"', next='"r\\(n_regionkey + 1)"')
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_quantity / l_linenumber AS ratio, l_quantity > 25 AND NOT l_returnflag = 'N' AS picked, repeat(l_returnflag, 2) AS twice FROM lineitem")
+def arithmetic_and_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.select_expr(_t(spark, sf_dir, "lineitem"), l_orderkey="l_orderkey", l_linenumber="l_linenumber", net="l_extendedprice * (1 - l_discount)", ratio="l_quantity / l_linenumber", picked='l_quantity > 25 && !(l_returnflag == "N")', twice="l_returnflag * 2")
+
+
+@query("SELECT p_partkey, regexp_matches(p_brand, '^Brand#[1-3]') AS m, NOT regexp_matches(p_name, '[05]$') AS nm, p_size = 7 AS eq, p_brand <> p_type AS ne FROM part")
+def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.select_expr(_t(spark, sf_dir, "part"), p_partkey="p_partkey", m='p_brand =~ "^Brand#[1-3]"', nm='p_name !~ "[05]$"', eq="p_size == 7.0", ne="p_brand != p_type")
+
+
+# ---------------------------------------------------------------- comprehensions, order, sets
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.struct(F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"))
+    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+
+
+@query("SELECT l_orderkey, coalesce(sum(l_quantity * l_extendedprice) FILTER (WHERE l_quantity > 10), 0)::DOUBLE AS total, count(*) FILTER (WHERE l_quantity > 10) AS n FROM lineitem GROUP BY l_orderkey")
+def comprehension_in_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frame.select_expr(_orders(spark, sf_dir), l_orderkey="l_orderkey", total="list.Sum([for l in lines if l.qty > 10 {l.qty * l.price}])", n="len([for l in lines if l.qty > 10 {l.line}])")
+    return out.select("l_orderkey", F.round("total", 2).alias("total"), "n")
+
+
+@query("SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) - 1)::BIGINT AS i, l_quantity AS qty FROM lineitem QUALIFY true AND l_quantity > 45")
+def comprehension_across_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.for_each(_orders(spark, sf_dir), "lines", "l", key="i", condition="l.qty > 45").select("l_orderkey", "i", F.col("l.qty").alias("qty"))
+
+
+@query("SELECT event_id, key, CAST(json_extract_string(props, '$.' || key) AS BIGINT) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) t")
+def comprehension_over_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,long>").alias("props"))
+    return frame.for_each(df, "props", "value", key="key").select("event_id", "key", "value")
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey AND n_nationkey > r_regionkey")
+def nested_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.nested(_t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region"), "n_regionkey == r_regionkey && n_nationkey > r_regionkey").select("n_name", "r_name")
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS line, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem) t WHERE rank <= 3")
+def sort_take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = frame.with_expr(_orders(spark, sf_dir), top="list.Take(list.SortStable(lines, {x: _, y: _, less: x.price > y.price}), 3)")
+    return frame.for_each(top, "top", "l", key="i").select("l_orderkey", F.col("l.line").alias("line"), (F.col("i") + 1).alias("rank"))
+
+
+@query("SELECT l_orderkey, array_to_string(list(l_linenumber ORDER BY l_linenumber)[2:3], '|') AS part FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3")
+def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = frame.where(_orders(spark, sf_dir), "len(lines) >= 3")
+    return frame.select_expr(df, l_orderkey="l_orderkey", part="[for l in lines[1:3] {l.line}]").withColumn("part", F.array_join(F.col("part").cast("array<string>"), "|"))
+
+
+@query("SELECT x AS v FROM (VALUES ('BUILDING'), ('MACHINERY')) t(x)")
+def choice_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meetspark.plans.evaluate import Schema
+
+    found = Schema.parse('a: "AUTOMOBILE" | "BUILDING" | "MACHINERY"\nb: "BUILDING" | "FURNITURE" | "MACHINERY"\nc: a & b').lookup("c").value
+    return spark.createDataFrame([(v.value,) for v, _ in found.alternatives], "v string")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey::BIGINT AS region FROM nation")
+def export_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    text = sources.export(df, "json").select(sources.variant(F.col("value")).alias("v"))
+    return text.select(frame.lookup(text, "v.n_nationkey").cast("int").alias("n_nationkey"), frame.lookup(text, "v.n_name").cast("string").alias("n_name"), frame.lookup(text, "v.n_regionkey").cast("long").alias("region"))
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def export_yaml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = sources.export(_t(spark, sf_dir, "region"), "yaml").select(F.parse_json(sources.to_json_text(F.col("value").cast("binary"), "yaml")).alias("v"))
+    return text.select(frame.lookup(text, "v.r_regionkey").cast("int").alias("r_regionkey"), frame.lookup(text, "v.r_name").cast("string").alias("r_name"))
+
+
+def queries() -> dict[str, Query]:
+    return _QUERIES | builtin_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _SQL | builtin_queries.oracle_sql()
