@@ -43,6 +43,7 @@ def conform(df: DataFrame, schema: Schema | str) -> DataFrame:
     labels = [k for k, m in schema.value.fields.items() if not m.optional and not m.definition and not m.hidden]
     refers = {k: {x.name for d in (schema.instance.root.fields.get(k, []) if schema.instance else []) for x in walk(d.value) if isinstance(x, S.Name)} & set(labels) - {k} for k in labels}
     done: list[str] = []
+    own = df.columns
     while len(done) < len(labels):
         ready = [k for k in labels if k not in done and refers[k] <= set(done)]
         if not ready:
@@ -55,7 +56,7 @@ def conform(df: DataFrame, schema: Schema | str) -> DataFrame:
                 taken[k] = x.column if kind is None else F.coalesce(F.col(f"`{k}`"), x.column.cast(kind))
         df = df.withColumns(taken) if taken else df
         done += ready
-    return df
+    return df.select(*[F.col(f"`{c}`") for c in [*own, *(k for k in labels if k in df.columns and k not in own)]])
 
 
 def unify(left: DataFrame, right: DataFrame, on: list[str], column: str = "_conflicts") -> DataFrame:

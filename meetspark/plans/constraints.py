@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from meetspark.functions.columns import Typed, is_number
 from meetspark.plans import syntax as S
-from meetspark.plans.evaluate import Schema
+from meetspark.plans.evaluate import Schema, walk
 from meetspark.plans.expressions import Columns, build, java_pattern
 from meetspark.plans.lattice import Atom, Bottom, Check, Choice, ListValue, Struct, Top, Value, default, show, string
 from meetspark.plans.lattice import meet as meet_values
@@ -245,15 +245,16 @@ def valid(kind: T.StructType, schema: Schema, nullable_as_null: bool = False) ->
 
 def default_column(schema: Schema, label: str, kind: T.DataType | None, scope: Columns) -> Typed | None:
     """A field's default as a column: a constant, or an expression over the fields beside it."""
+    marked = [x for d in (schema.instance.root.fields.get(label, []) if schema.instance else []) for x in _marked(d.value)]
+    for x in marked:  # one that refers to other fields takes each row's values
+        if any(isinstance(y, S.Name) and y.name in schema.value.fields for y in walk(x)):
+            return build(x, scope)
     member = schema.value.fields[label]
     taken = default(member.value)
     if isinstance(member.value, (Choice, Atom)) and isinstance(taken, Atom):
         own = kind or {"string": T.StringType(), "bool": T.BooleanType(), "bytes": T.BinaryType(), "null": T.NullType()}.get(taken.kind, T.LongType() if taken.exact == "int" else T.DoubleType())
         return Typed(literal(taken, own), own)
-    for decl in schema.instance.root.fields.get(label, []) if schema.instance else []:
-        for x in _marked(decl.value):
-            return build(x, scope)
-    return None
+    return build(marked[0], scope) if marked else None
 
 
 def _marked(node: S.Node) -> Iterator[S.Node]:
