@@ -163,7 +163,7 @@ def _range(start: Typed, limit: Typed, step: Typed) -> Column:
 
 
 def _euclid(a: Column, b: Column, divide: bool) -> Column:
-    b = F.when(b != 0, b)
+    a, b = a.cast("long"), F.when(b != 0, b.cast("long"))
     rest = F.pmod(a, F.abs(b))
     return ((a - rest) / b).cast("long") if divide else rest
 
@@ -190,7 +190,7 @@ COLUMNS: dict[str, Callable[..., Typed]] = {
     # core
     "len": lambda x: Typed((F.size(x.column) if isinstance(x.kind, (T.ArrayType, T.MapType)) else F.lit(len(x.kind)) if isinstance(x.kind, T.StructType) else F.octet_length(x.column)).cast("long"), LONG),
     "quo": _f(LONG, _c(_quo)),
-    "rem": _f(LONG, _c(lambda a, b: a % F.when(b != 0, b))),
+    "rem": _f(LONG, _c(lambda a, b: a.cast("long") % F.when(b != 0, b.cast("long")))),
     "div": _f(LONG, _c(lambda a, b: _euclid(a, b, True))),
     "mod": _f(LONG, _c(lambda a, b: _euclid(a, b, False))),
     # strings
