@@ -39,28 +39,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.select("source", "source_size", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix_keyed(documents: DataFrame, keep: list[Column], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """The columns `keep` with size, source_size, target and taken of every row; see mix()."""
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).cast("binary"))
-    rows = documents.select(F.struct(*keep).alias("kept"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), key.alias("key"))
+def mixing_key(id_col: Column, seed: str = SEED) -> Column:
+    """The hash-random key of a document; a null id counts as the word null."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("null"))).cast("binary"))
+
+
+def placed(documents: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, epochs: int, seed: str) -> DataFrame:
+    """Rows id, source, key, size, source_size, target, whole (times that the source is taken whole), over (words taken once more) and
+    before (words of the source before the document in key order)."""
+    ident = F.col(f"`{id_col}`")
+    rows = documents.select(ident.alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), mixing_key(ident, seed).alias("key"))
     rows = materialise(rows, "mixing")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     goals = targets(sources, weights, share, epochs).select(F.col("source").alias("source_"), "source_size", "target", F.floor(F.col("target") + 0.5).alias("budget"))
     told = sources.select(F.col("source").alias("source_"), F.ceil(F.sqrt("source_rows")).cast("long").alias("ranges"))
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     rows = rows.join(told, F.col("source").eqNullSafe(F.col("source_"))).withColumn("range", F.floor(place * F.col("ranges") / float(1 << 32))).drop("source_", "ranges")
-    order = [F.col("key"), F.col("id"), F.col("size")]
     per_range = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     start = F.sum("range_size").over(Window.partitionBy("source").orderBy("range")) - F.col("range_size")
     per_range = per_range.withColumn("start", start).select(F.col("source").alias("source_"), F.col("range").alias("range_"), "start")
-    inside = F.sum("size").over(Window.partitionBy("source", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    rows = rows.withColumn("inside", inside)
+    order = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("inside", F.sum("size").over(order) - F.col("size"))
     rows = rows.join(per_range, F.col("source").eqNullSafe(F.col("source_")) & (F.col("range") == F.col("range_"))).drop("source_", "range_")
     rows = rows.join(goals, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
-    over = F.col("budget") - whole * F.col("source_size")
-    taken = whole * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), over - F.col("start") - F.col("inside")))
-    return rows.select("kept.*", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rows = rows.withColumn("whole", whole).withColumn("over", F.col("budget") - F.col("whole") * F.col("source_size"))
+    return rows.select("id", "source", "key", "size", "source_size", "target", "whole", "over", (F.col("start") + F.col("inside")).alias("before"))
 
 
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
@@ -71,7 +75,27 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     a null id counts as the word null. Documents of equal id have equal keys and are ordered by size; equal rows share what they get
     between them in any order. An empty table gives none. Further columns are not read.
     """
-    return mix_keyed(documents, [F.col(f"`{id_col}`").alias(id_col)], id_col, text_col, source_col, weights, share, epochs, seed)
+    rows = placed(documents, id_col, text_col, source_col, weights, share, epochs, seed)
+    taken = F.col("whole") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), F.col("over") - F.col("before")))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def cuts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """Where mix() cuts each source: source, whole, and of the document at the cut cut_key, cut_size and cut_taken (NULL where nothing is
+    cut). With it, times_taken() decides on a document from its own columns, so that texts need not be shuffled."""
+    rows = placed(documents, id_col, text_col, source_col, weights, share, epochs, seed)
+    at_cut = (F.col("before") < F.col("over")) & (F.col("over") <= F.col("before") + F.col("size"))
+    cut = F.min(F.when(at_cut, F.struct("key", "size", (F.col("over") - F.col("before")).alias("taken"))))
+    found = rows.groupBy("source").agg(F.max("whole").alias("whole"), cut.alias("cut"))
+    return found.select("source", "whole", F.col("cut.key").alias("cut_key"), F.col("cut.size").alias("cut_size"), F.col("cut.taken").alias("cut_taken"))
+
+
+def times_taken(id_col: Column, size: Column, seed: str = SEED) -> Column:
+    """How often a document is taken, beside its source's row of cuts(): at the cut once more from half of it on."""
+    key = mixing_key(id_col, seed)
+    earlier = (key < F.col("cut_key")) | ((key == F.col("cut_key")) & (size < F.col("cut_size")))
+    at_cut = (key == F.col("cut_key")) & (size == F.col("cut_size")) & (F.col("cut_taken") * 2 >= size)
+    return F.col("whole") + F.coalesce(earlier | at_cut, F.lit(False)).cast("long")
 
 
 #: mix() over documents, for DuckDB.
