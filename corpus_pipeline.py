@@ -23,24 +23,25 @@ def drop_poor_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents linked by their shingles, the one of the smallest id. Of rows of equal id and text one stays."""
-    classes = jaccard.classes(docs)
-    kept = common.materialise(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_ms_rows")), "kept")
-    ids = kept.select(F.col("doc_id").alias("_ms_id"), "_ms_rows")
-    joined = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_ms_id")))
-    once = joined.where("_ms_rows = 1").select(docs.columns)
-    if kept.where("_ms_rows > 1").isEmpty():
-        return once
-    return once.unionByName(joined.where("_ms_rows > 1").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = common.materialise(jaccard.classes(docs).groupBy(F.col("doc_id").alias("_ms_id")).agg(F.max(stays).alias("_ms_stays"), F.count(F.lit(1)).alias("_ms_rows")), "ids")
+    same = F.col("doc_id").eqNullSafe(F.col("_ms_id"))
+    # Fewer ids go than stay; where their table is small, Spark's own size check spares the texts a shuffle.
+    out = docs.join(common.materialise(ids.where("NOT _ms_stays").select("_ms_id"), "gone"), same, "left_anti")
+    again = common.materialise(ids.where("_ms_stays AND _ms_rows > 1").select("_ms_id"), "again")
+    if again.isEmpty():
+        return out
+    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: once for each whole time, and once more from half of a document on. Rows of equal id are
-    taken equally often, the rounded mean of their times; documents without words are taken never."""
-    whole = F.expr("taken div size") + (F.expr("taken % size") * 2 >= F.col("size")).cast("long")
-    plan = mixing.mix(docs).where("size > 0").groupBy("doc_id").agg(F.round(F.avg(whole)).cast("int").alias("_ms_times"))
-    plan = common.materialise(plan.where("_ms_times > 0").withColumnRenamed("doc_id", "_ms_id"), "mix")
-    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_ms_id"))).where(mixing.word_count(F.col("text")) > 0)
-    return taken.withColumn("_ms_time", F.explode(F.sequence(F.lit(1), F.col("_ms_times")))).select(docs.columns)
+    """Documents as often as the mix takes them: once for each whole time, and once more before their source's cut; the document at the cut
+    from half of it on. Documents without words are taken never."""
+    cuts = common.materialise(mixing.cuts(docs).withColumnRenamed("source", "_ms_source"), "cuts")
+    plain = docs.select(F.struct(*docs.columns).alias("_ms_row"), "doc_id", "source", mixing.word_count(F.col("text")).alias("_ms_size"))
+    beside = plain.join(cuts, F.col("source").eqNullSafe(F.col("_ms_source"))).withColumn("_ms_times", mixing.times_taken(F.col("doc_id"), F.col("_ms_size")).cast("int"))
+    taken = beside.where((F.col("_ms_size") > 0) & (F.col("_ms_times") > 0))
+    return taken.withColumn("_ms_time", F.explode(F.sequence(F.lit(1), F.col("_ms_times")))).select("_ms_row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
