@@ -168,3 +168,16 @@ def test_meet_is_commutative_and_idempotent(a, b):
     assert isinstance(left, Bottom) == isinstance(right, Bottom)
     assert isinstance(left, Bottom) or show(meet(left, right)) == show(left) or same(left, right)
     assert same(meet(x, x), x) or show(meet(x, x)) == show(x)
+
+
+def test_limits_of_a_context():
+    from meetspark.context import Context
+    from meetspark.errors import DecodeError
+
+    small = Context(max_source_bytes=20, max_parse_depth=8, max_decode_depth=1)
+    assert str(small.compile_source(b"a: 1").lookup("a")) == "1" and len(small.scan_source("a: 1")) == 5
+    for source in ("a: 1 // long enough to refuse", "a: ((((((((1))))))))", b"a: \xff"):
+        with pytest.raises(ParseError):
+            small.compile_source(source)
+    with pytest.raises(DecodeError):
+        small.decode('{"a": {"b": 1}}', "json")
