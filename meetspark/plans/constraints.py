@@ -33,6 +33,7 @@ class Finding:
     cause: Column
     message: str
     code: str = "eval.bottom"
+    good: Column | None = None  # when it does not hold, in a form that scans can filter by; NULL counts as false
 
 
 def kinds_of(kind: T.DataType) -> set[str]:
@@ -104,6 +105,21 @@ def failing(column: Column, kind: T.DataType, value: Value) -> tuple[Column, Col
     return F.lit(True), _cause("kind_conflict")
 
 
+def passing(column: Column, kind: T.DataType, value: Value) -> Column | None:
+    """Plain comparisons that are true for just the non-null values that satisfy a constraint, if it comes to that."""
+    if isinstance(value, Check) and kinds_of(kind) & value.kinds and is_number(kind) and not value.multiples:
+        out = F.lit(True)
+        for op, bound in value.bounds:
+            x = literal(Atom("number", bound), kind)
+            out = out & {"<": column < x, "<=": column <= x, ">": column > x, ">=": column >= x}[op]
+        return out if value.bounds else None
+    if isinstance(value, Choice) and all(isinstance(v, Atom) and v.exact in kinds_of(kind) and v.kind in ("string", "bool") for v, _ in value.alternatives):
+        return column.isin([v.value for v, _ in value.alternatives])
+    if isinstance(value, Atom) and value.exact in kinds_of(kind):
+        return column == literal(value, kind)
+    return None
+
+
 def _any(found: Iterator[Finding]) -> Column:
     bad = F.lit(False)
     for x in found:
@@ -121,7 +137,8 @@ def findings(column: Column, kind: T.DataType, value: Value, path: str, nullable
         yield Finding(path, column.isNotNull(), _cause("kind_conflict"), f"conflicting values {show(value)} and {kind.simpleString()}")
     else:
         bad, cause = failing(column, kind, value)
-        yield Finding(path, column.isNotNull() & bad, cause, f"does not satisfy {show(value)}")
+        good = passing(column, kind, value)
+        yield Finding(path, column.isNotNull() & bad, cause, f"does not satisfy {show(value)}", good=None if good is None else column.isNull() | good)
 
 
 def _matches(label: str, pattern: Value) -> bool:
@@ -201,7 +218,7 @@ def present(column: Column, kind: T.DataType, value: Value, path: str, optional:
     if nullable_as_null:
         yield Finding(path, absent, _cause("kind_conflict"), f"conflicting values {show(value)} and null")
     else:
-        yield Finding(path, absent, _cause("incomplete"), f"{show(value)} is not given", "eval.incomplete")
+        yield Finding(path, absent, _cause("incomplete"), f"{show(value)} is not given", "eval.incomplete", column.isNotNull() if parent is None else None)
 
 
 def row_findings(kind: T.StructType, schema: Schema, nullable_as_null: bool = False) -> list[Finding]:
@@ -236,10 +253,10 @@ def violations(kind: T.StructType, schema: Schema, nullable_as_null: bool = Fals
 
 
 def valid(kind: T.StructType, schema: Schema, nullable_as_null: bool = False) -> Column:
-    """Whether a row has no violation: one conjunction, whose parts reach the scan as pushed filters."""
+    """Whether a row has no violation, for filters: one conjunction, whose comparisons reach the scan. NULL counts as false."""
     ok = F.lit(True)
     for x in row_findings(kind, schema, nullable_as_null):
-        ok = ok & ~F.coalesce(x.bad, F.lit(False))
+        ok = ok & (x.good if x.good is not None else ~F.coalesce(x.bad, F.lit(False)))
     return ok
 
 

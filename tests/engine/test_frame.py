@@ -41,6 +41,15 @@ def test_filters_reach_the_scan(spark, tmp_path):
     spark.range(100).selectExpr("id", "id % 7 AS x", "'t' AS unused").write.parquet(f"{tmp_path}/t")
     plan = frame.valid_rows(spark.read.parquet(f"{tmp_path}/t"), "x: >=1 & <=3").select("id")._jdf.queryExecution().executedPlan().toString()
     assert "unused" not in plan and "Python" not in plan
+    pushed = plan.split("PushedFilters: [")[1]
+    assert "GreaterThanOrEqual(x,1)" in pushed and "LessThanOrEqual(x,3)" in pushed
+
+
+@pytest.mark.parametrize("schema", ["a: int & >1 & <=5", 'b: "x" | "y"', 'b: "x"', "c: >0.5", "d: true", 'a?: <3\nb?: "x"', "a: 3 | null", 'b: =~"^x"', "a: >1 | <0"])
+def test_valid_rows_are_those_without_violations(spark, schema):
+    df = spark.createDataFrame([(i if i % 4 else None, ["x", "y", "z", None][i % 4], [0.1, 0.9, float("nan"), None][i // 2 % 4], [True, False, None][i % 3]) for i in range(-3, 12)], "a long, b string, c double, d boolean")
+    want = sorted(map(str, (tuple(r)[:4] for r in frame.vet(df, schema).where("size(_violations) = 0").collect())))
+    assert sorted(map(str, map(tuple, frame.valid_rows(df, schema).collect()))) == want
 
 
 def test_conform(spark):
