@@ -5,8 +5,9 @@ minimise a loss in which the part of the residual that is parallel to the vector
 what changes large inner products. Codebooks are fitted on the driver to a bounded sample of TRAIN_ROWS vectors in hash
 order; every vector is coded. Rows are dealt by hash into blocks. A block of queries meets a block of vectors in one task: tables
 of the queries' products with all centroids, two subspaces to a table, are summed along the codes; the best RERANK
-of each block are scored exactly in double precision, and the best of all blocks stay. Every vector is scanned, so the number of
-candidates, not a choice of cells, decides the recall.
+of each block are scored exactly in double precision and give a cut-off; of the others all that could reach it, by their residuals' lengths along
+and across them, are scored exactly too. The best of all blocks stay. Every vector is scanned and none is passed over that could be
+nearer, so the neighbours are the true ones, near copies included.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from meetspark.llm.common import bound_batches, materialise
 K, EVERY = 20, 20
 #: The bound of the training sample; weight threshold of the loss; rounds of fitting and coding.
 TRAIN_ROWS, THRESHOLD, ROUNDS = 8192, 0.2, 4
-#: Vectors and queries of a block, candidates of a block that are scored exactly, queries that are scanned at once.
+#: Vectors and queries of a block, candidates of a block that are scored exactly for its cut-off, queries that are scanned at once.
 BLOCK_ROWS, QUERY_ROWS, RERANK, SCAN = 4096, 1024, 96, 128
 #: Dimensions of a subspace and centroids of its codebook: four bits.
 PART, CODES = 2, 16
@@ -99,6 +100,30 @@ def scan(queries: np.ndarray, books: np.ndarray, packed: np.ndarray) -> np.ndarr
     return out
 
 
+def decode(codes: np.ndarray, books: np.ndarray, dimensions: int) -> np.ndarray:
+    """Vectors that packed codes stand for."""
+    each = np.stack([codes >> 4, codes & 15], axis=2).reshape(len(codes), -1)
+    return books[np.arange(each.shape[1])[None], each].reshape(len(codes), -1)[:, :dimensions]
+
+
+def reaching(near: np.ndarray, cut: np.ndarray, queries: np.ndarray, vectors: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    """Which vectors can have a product of at least `cut` with each query, given the products `near` with their coded forms.
+
+    With c the product of the query and the vector's direction, the coded form's product is c times its own part along the vector, and at least
+    -sqrt(|query|^2 - c^2) times its part across: a convex function of c, whose least value for c >= cut / |vector| is compared.
+    """
+    norms = np.linalg.norm(vectors, axis=1)
+    unit = vectors / norms[:, None]
+    along = np.einsum("nd,nd->n", coded, unit)
+    across = np.linalg.norm(coded - along[:, None] * unit, axis=1)
+    size = np.linalg.norm(queries, axis=1)[:, None]
+    lowest = -along / np.maximum(np.hypot(along, across), np.finfo(float).tiny)
+    c = np.clip(np.maximum(cut[:, None] / norms, lowest * size), -size, size)
+    least = c * along - across * np.sqrt(np.maximum(size**2 - c**2, 0))
+    slack = (vectors.shape[1] + 8) * np.finfo(np.float32).eps  # rounding of the tables' sums
+    return near >= least - slack * size * (norms + np.hypot(along, across))
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector is not null, not zero and has finite components only."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -106,7 +131,7 @@ def usable(vector: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY, rerank: int = RERANK) -> DataFrame:
-    """For each query (id divisible by `every`) its k nearest other rows found: query_id, rank, vec_id, score.
+    """For each query (id divisible by `every`) its k nearest other rows: query_id, rank, vec_id, score.
 
     Nulls: a null id, and a vector that is null, zero or holds null or non-finite components, takes no part; nor does a vector
     whose length isn't the commonest one. Of rows of equal id the smallest vector counts. Equal scores are ordered by id, and
@@ -151,17 +176,24 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             order = np.argsort(group, kind="stable")  # rows by distinct vector, ids ascending
             starts = np.searchsorted(group[order], np.arange(len(first)))
             counts = np.minimum(np.diff(np.append(starts, len(ids))), k + 1)  # a query may be one of them
+            norms, coded_own = np.linalg.norm(own[first], axis=1), decode(codes[first], books, own.shape[1])
             for at in range(0, len(asks), SCAN):
                 q = asks[at : at + SCAN]
                 near = scan(q, books, codes[first])
                 some = min(rerank, near.shape[1])
                 best = np.argpartition(-near, some - 1, axis=1)[:, :some]
                 exact = np.einsum("qd,qcd->qc", q, own[first[best]])
+                cut = -np.partition(-exact, k, axis=1)[:, k] if some > k else np.full(len(q), -np.inf)  # the query may be one of them
+                able = reaching(near, cut, q, own[first], coded_own)
+                np.put_along_axis(able, best, False, axis=1)
+                more = np.flatnonzero(able.any(axis=0))
+                products = q @ own[first[more]].T
+                able = able[:, more] & (products >= cut[:, None] - 1e-12 * np.linalg.norm(q, axis=1)[:, None] * norms[more])
                 for i in range(len(q)):
-                    each = best[i]
+                    each = np.concatenate([best[i], more[able[i]]])
                     times = counts[each]
                     take = order[np.repeat(starts[each] - np.cumsum(times) + times, times) + np.arange(times.sum())]
-                    found, score = ids[take], np.repeat(exact[i], times)
+                    found, score = ids[take], np.repeat(np.einsum("qd,qcd->qc", q[i : i + 1], own[first[each]][None])[0], times)
                     other = found != asked_ids[at + i]
                     found, score = found[other], score[other]
                     top = np.lexsort((found, -score))[:k]

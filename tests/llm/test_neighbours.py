@@ -54,6 +54,30 @@ def test_recall_and_exact_scores(spark, monkeypatch, n, d, hot):
         assert all(abs(s - true[i]) < 1e-12 for i, s in got[q]) and len(got[q]) == len(want[q])
 
 
+@pytest.mark.parametrize("noise", [0.001, 0.1, 0.3])
+def test_near_copies_are_told_apart(spark, noise):
+    x = vectors(3000, 32)
+    x[::3] = x[0] + noise * vectors(1000, 32, 1)
+    rows = [(int(i), [float(v) for v in y]) for i, y in enumerate(x)]
+    got = {}
+    for r in sorted(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in each] for q, each in brute(rows).items()}
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_no_reaching_vector_is_left_out(sign):
+    x, q = vectors(500, 7).astype(np.float64), vectors(40, 7, 1).astype(np.float64)
+    x[:200] = sign * q[0] + 0.1 * x[:200]
+    books = neighbours.fit(x[100:])
+    packed = neighbours.pack_codes(neighbours.encode(x, books, 2.0))
+    near, coded, true = neighbours.scan(q, books, packed), neighbours.decode(packed, books, 7), q @ x.T
+    for share in (0.0, 0.01, 0.5, 0.99, 1.0):
+        cut = np.quantile(true, share, axis=1)
+        assert neighbours.reaching(near, cut, q, x, coded)[true >= cut[:, None]].all()
+    assert neighbours.reaching(near, true.max(axis=1), q, x, coded).mean() < 0.5
+
+
 def test_nothing(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     assert neighbours.nearest(spark.createDataFrame([(20, [1.0])], "vec_id long, embedding array<float>")).collect() == []
