@@ -3,8 +3,9 @@
 Markup is stripped first: each block element gives a line, and elements that never hold article text (scripts, forms,
 menus, adverts, comments ...) give a gap of empty lines instead. Text lengths are then summed over sliding windows of
 lines. A region begins at a surge point, where the sum rises over a threshold, and ends at the dive point, where it falls to
-nothing. On a page that marks its article or main element, only lines inside it have lengths, and all regions are kept;
-elsewhere lines made of links have none, and regions are kept that come near the largest one.
+nothing. On a page that marks its article or main element, only lines inside it have lengths, and all of them are kept;
+elsewhere lines made of links have none, and all others of the block that holds the regions are kept, over gaps and however short: of the body's
+own child if that holds all regions and a heading, of the whole body otherwise.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from pyspark.sql import functions as F
 
 from meetspark.llm.common import bound_batches, texts_of
 
-#: Lines in a window; the sum at which a region begins on pages that don't mark their article; the least share of the largest region.
-WINDOW, SURGE, SHARE = 3, 80, 0.2
+#: Lines in a window; the sum at which a region begins on pages that don't mark their article.
+WINDOW, SURGE = 3, 80
 
 _RAW = "script style noscript template iframe svg canvas object select textarea button title xmp noembed noframes audio video map"
 _DROPPED = set("nav aside footer form dialog menu head datalist".split()) | set(_RAW.split())
 _BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 _SPACES = {"br", "td", "th", "wbr"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that mark what is no article text.
 _MARKS = set(
@@ -56,31 +58,34 @@ def _marked(attributes: str) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """A page's lines: text, characters of it in links, and whether it stands inside the article or main element. Gaps are empty lines."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(html: str) -> list[tuple[str, int, bool, int, bool]]:
+    """A page's lines: text, characters of it in links, whether it stands inside the article or main element, the number of the body's
+    child that holds it (0: the body itself), and whether it is a heading. Gaps are empty lines."""
+    lines: list[tuple[str, int, bool, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # open containers: name, dropped, main
     words: list[str] = []
     dropped = main = 0
+    deep = child = 0  # open containers inside the body, and the number of the outermost
     link, linked = 0, 0
 
     def close() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(words)).split()) if words else ""
         if text:
-            lines.append((text, linked, main > 0))
+            lines.append((text, linked, main > 0, child if deep else 0, bool(stack) and stack[-1][0] in _HEADINGS))
         words.clear()
         linked = 0
 
     def gap() -> None:
         close()
-        lines.extend([("", 0, False)] * WINDOW)
+        lines.extend([("", 0, False, 0, False)] * WINDOW)
 
     def pop(at: int) -> None:
-        nonlocal dropped, main
-        for _, was_dropped, was_main in stack[at:]:
+        nonlocal dropped, main, deep
+        for name, was_dropped, was_main in stack[at:]:
             dropped -= was_dropped
             main -= was_main
+            deep -= name not in ("html", "body")
         del stack[at:]
 
     end = 0
@@ -125,6 +130,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             stack.append((name, marked, is_main))
             dropped += marked
             main += is_main
+            child += not deep
+            deep += name not in ("html", "body")
     if not dropped and end < len(html):
         words.append(html[end:])
     close()
@@ -135,23 +142,21 @@ def main_text(html: str) -> str:
     """The article of a page: its blocks, joined by an empty line."""
     lines = lines_of(html)
     inside = any(x[2] for x in lines)
-    lengths = [len(text) if within or not inside and 2 * linked < len(text) else 0 for text, linked, within in lines]
-    regions: list[list[int]] = []
-    begun = False
-    total = sum(lengths[:WINDOW])
-    for i, n in enumerate(lengths):  # total: of the lines from i
-        if not begun and n and (inside or total >= SURGE):
-            regions.append([])
-            begun = True
-        if begun and n:
-            regions[-1].append(i)
-        total += (lengths[i + WINDOW] if i + WINDOW < len(lengths) else 0) - n
-        begun = begun and total > 0
-    if not regions:
-        regions = [[i for i, n in enumerate(lengths) if n]]
-    size = [sum(lengths[i] for i in x) for x in regions]
-    least = 0 if inside else SHARE * max(size)
-    return "\n\n".join(lines[i][0] for x, n in zip(regions, size, strict=True) if n >= least for i in x)
+    lengths = [len(text) if within or not inside and 2 * linked < len(text) else 0 for text, linked, within, _, _ in lines]
+    if not inside:
+        holders: set[int] = set()  # children of the body that hold regions
+        begun = False
+        total = sum(lengths[:WINDOW])
+        for i, n in enumerate(lengths):  # total: of the lines from i
+            begun = begun or n > 0 and total >= SURGE
+            if begun and n:
+                holders.add(lines[i][3])
+            total += (lengths[i + WINDOW] if i + WINDOW < len(lengths) else 0) - n
+            begun = begun and total > 0
+        only = holders.pop() if len(holders) == 1 else 0
+        if only and any(n and x[3] == only and x[4] for x, n in zip(lines, lengths, strict=True)):
+            lengths = [n if x[3] == only else 0 for x, n in zip(lines, lengths, strict=True)]
+    return "\n\n".join(x[0] for x, n in zip(lines, lengths, strict=True) if n)
 
 
 def article(html: Column) -> Column:

@@ -30,6 +30,21 @@ def test_cases(page):
     assert html.main_text(page) == CASES[page]
 
 
+BODY, END = " ".join([T] * 10), T[:150]
+AD, SHARE = "<div class='ad'>Buy this</div>", "<div class='share'>Share this</div>"
+UNMARKED = {
+    f"<div><h1>Title</h1>{SHARE}<p>{BODY}</p>{AD}<p>{END}</p>{AD}<p>The end.</p></div>": f"Title\n\n{BODY}\n\n{END}\n\nThe end.",
+    f"<body><h1>Title</h1>{SHARE}<div><p>{BODY}</p></div>{AD}<p>The end.</p></body>": f"Title\n\n{BODY}\n\nThe end.",
+    f"<body><div>Our slogan</div>{AD}<div><h2>Title</h2>{SHARE}<div><p>{BODY}</p></div>{AD}<p>The end.</p><p><a href=x>Next</a></p></div>{AD}<div>Made in 2020</div></body>": f"Title\n\n{BODY}\n\nThe end.",
+    f"<div>{BODY}</div>{AD}<div>Short.</div>{AD}<div>{END}</div>": f"{BODY}\n\nShort.\n\n{END}",
+}
+
+
+@pytest.mark.parametrize("page", UNMARKED)
+def test_no_text_of_an_unmarked_article_is_dropped(page):
+    assert html.main_text(page) == UNMARKED[page]
+
+
 @given(st.text(alphabet="<>/!-\"'=apdivnrtcle &;#x", max_size=200))
 @settings(max_examples=300, deadline=None)
 def test_never_fails(page):
