@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from html import unescape
 
 import pyarrow as pa
@@ -38,33 +39,115 @@ _MARKS = set(
     "recommendations comment comments commentlist reply replies respond disqus discussion widget widgets pager pagination "
     "copyright legal disclaimer skip skiplink contentinfo complementary paywall teaser teasers".split()
 )
+#: Words before and after a mark that make it a state of the element or a part beside it, as in has-sidebar, comments-open.
+_BEFORE, _AFTER = set("has have with without no not hide show".split()), set("open opened closed enabled disabled allowed on off".split())
+#: Words before "header" that make it the header of the story.
+_OWN = set("entry post article story".split())
+#: A self-closed tag after its name; a slash that ends an unquoted value closes nothing.
+_CLOSED = r"(?:[^>\"'=/]++|/(?!>)|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)?+|\"[^\"]*+\"|'[^']*+')*+/>"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(_RAW.split())})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(_RAW.split())})(?=[\s/>])(?!{_CLOSED})(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: See _read().
+Line = tuple[str, int, bool, int, bool]
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _marked(attributes: str) -> bool:
-    """Whether an element's attributes say that it is hidden or no article text."""
+def _hidden(attributes: str) -> bool:
+    """Whether an element's attributes say that it is hidden."""
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = next((x for x in values if x), ""), name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role") and any(x.lower() in _MARKS for x in _WORD.findall(value)):
-            return True
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, int, bool]]:
-    """A page's lines: text, characters of it in links, whether it stands inside the article or main element, the number of the body's
+def _marked(attributes: str, main: bool = False) -> bool:
+    """Whether an element's class, id or role says that it is no article text; inside the article or main element a header is."""
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            for token in next((x for x in values if x), "").split():
+                words = [x.lower() for x in _WORD.findall(token)]
+                for i, word in enumerate(words):
+                    if word not in _MARKS or i and words[i - 1] in _BEFORE or i + 1 < len(words) and words[i + 1] in _AFTER:
+                        continue
+                    if word != "header" or not (main or i and words[i - 1] in _OWN):
+                        return True
+    return False
+
+
+@dataclass
+class _Part:
+    """An element dropped for its class, id or role: whether it is an article, the next such element around it, and what it holds outside
+    those in it: characters without links, first headings, articles and main elements."""
+
+    article: bool
+    outer: _Part | None
+    text: int = 0
+    titles: int = 0
+    articles: int = 0
+    mains: int = 0
+
+
+def lines_of(html: str) -> list[Line]:
+    """A page's lines. A class, id or role is passed over where the element holds the page's main element, or more text than stands outside
+    all such elements while there is no article outside and the story must be within: it is or holds an article or the only first heading, or
+    less than a passage (SURGE characters) stands outside."""
+    kept: set[int] = set()
+    while True:
+        lines, parts, titles, articles = _read(html, kept)
+        more = _stories(parts, sum(len(x[0]) - x[1] for x in lines), titles, articles)
+        if not more:
+            return lines
+        kept |= more
+
+
+def _stories(parts: dict[int, _Part], outside: int, titles: int, articles: int) -> set[int]:
+    """Places of the parts that are no boilerplate, from the outermost inwards, given what stands outside them all."""
+    whole = {id(x): replace(x) for x in parts.values()}  # with the parts inside
+    inner: dict[int | None, list[int]] = {}
+    for at in sorted(parts, reverse=True):
+        outer = parts[at].outer
+        inner.setdefault(id(outer) if outer else None, []).append(at)
+        if outer:
+            x, sums = whole[id(parts[at])], whole[id(outer)]
+            sums.text, sums.titles, sums.articles, sums.mains = sums.text + x.text, sums.titles + x.titles, sums.articles + x.articles, sums.mains + x.mains
+
+    def rank(at: int) -> tuple[int, int]:
+        x = whole[id(parts[at])]
+        held = 3 if x.article or x.titles else 2 if x.articles else 0
+        if x.mains:
+            return 4, x.text
+        if articles or x.text <= outside:
+            return 0, 0
+        return held if held and (not titles or outside < SURGE) else int(outside < SURGE <= x.text), x.text
+
+    found: set[int] = set()
+    some = inner.get(None, [])
+    while some := [x for x in some if rank(x)[0] or whole[id(parts[x])].text > outside]:
+        best = max(some, key=rank)
+        if not rank(best)[0]:
+            break
+        found.add(best)
+        x = parts[best]
+        outside, titles, articles = outside + x.text, titles + x.titles, articles + x.articles + x.mains + x.article
+        some = [at for at in some if at != best] + inner.get(id(x), [])
+    return found
+
+
+def _read(html: str, kept: set[int]) -> tuple[list[Line], dict[int, _Part], int, int]:
+    """A page's lines, the parts dropped for their class, id or role by place, and the first headings and articles outside them; marks
+    at the places in `kept` don't count. A line: text, characters of it in links, whether it stands inside the article or main element, the number of the body's
     child that holds it (0: the body itself), and whether it is a heading. Gaps are empty lines."""
-    lines: list[tuple[str, int, bool, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: name, dropped, main
+    lines: list[Line] = []
+    stack: list[tuple[str, int, bool]] = []  # open containers: name, dropped (2: whatever its class, id or role), main
     words: list[str] = []
-    dropped = main = 0
+    parts: dict[int, _Part] = {}
+    part: _Part | None = None
+    dropped = hard = main = titles = articles = 0
     deep = child = 0  # open containers inside the body, and the number of the outermost
     link, linked = 0, 0
 
@@ -81,9 +164,12 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int, bool]]:
         lines.extend([("", 0, False, 0, False)] * WINDOW)
 
     def pop(at: int) -> None:
-        nonlocal dropped, main, deep
+        nonlocal part, dropped, hard, main, deep
         for name, was_dropped, was_main in stack[at:]:
-            dropped -= was_dropped
+            dropped -= was_dropped > 0
+            hard -= was_dropped > 1
+            if was_dropped == 1 and part:
+                part = part.outer
             main -= was_main
             deep -= name not in ("html", "body")
         del stack[at:]
@@ -95,6 +181,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int, bool]]:
             words.append(text)
             if link:
                 linked += len(text)
+        elif part and not hard and not link:
+            part.text += len(html[end : found.start()].strip())
         end = found.end()
         if found[3] is None:
             if found[1] and not dropped and found[1].lower() in _BLOCKS:
@@ -118,24 +206,41 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int, bool]]:
         attributes = found[4] or ""
         if name in ("article", "main") and dropped and not any(x[1] and x[0] in ("article", "div", "section", "template") for x in stack):
             pop(next(i for i, x in enumerate(stack) if x[1]))  # a menu or the like that was never closed
-        marked = name not in ("html", "body", "main") and (name in _DROPPED or name == "header" and not main or bool(attributes) and _marked(attributes))
+        marked = 0
+        if name not in ("html", "body", "main"):
+            if name in _DROPPED or name == "header" and not main or attributes and _hidden(attributes):
+                marked = 2
+            elif attributes and found.start() not in kept and _marked(attributes, main > 0):
+                marked = 2 if hard else 1
         if name in _BLOCKS and not dropped:
             close()
         if name in _VOID or attributes.endswith("/") and name not in _BLOCKS:
             continue
         if marked and not dropped:
             gap()
+        if marked == 1:
+            part = parts[found.start()] = _Part(name == "article", part)
+        if not dropped and not marked:
+            titles += name == "h1"
+            articles += name in ("article", "main")
+        elif part and not hard and marked < 2:
+            part.titles += name == "h1"
+            part.articles += name == "article" and marked == 0
+            part.mains += name == "main"
         is_main = name in ("article", "main") and not marked
         if name in _BLOCKS - {"p", "li", "dd", "dt", "option", "hr"} or marked:
             stack.append((name, marked, is_main))
-            dropped += marked
+            dropped += marked > 0
+            hard += marked > 1
             main += is_main
             child += not deep
             deep += name not in ("html", "body")
     if not dropped and end < len(html):
         words.append(html[end:])
+    elif part and not hard and not link:
+        part.text += len(html[end:].strip())
     close()
-    return lines
+    return lines, parts, titles, articles
 
 
 def main_text(html: str) -> str:

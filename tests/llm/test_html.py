@@ -45,6 +45,28 @@ def test_no_text_of_an_unmarked_article_is_dropped(page):
     assert html.main_text(page) == UNMARKED[page]
 
 
+NAMED = {
+    f"<div class='container has-sidebar'><h1>Title</h1><p>{T}</p><div class='sidebar'>Side</div></div>": f"Title\n\n{T}",
+    f"<article class='post comments-open'><p>{T}</p></article>": T,
+    f"<article class='post category-social'><p>{T}</p><div class='social'>Like</div></article><div id='comments'><p>{BODY}</p></div>": T,
+    f"<div id='page' class='left-sidebar'><div class='comments'>{BODY}</div><article><p>{T}</p></article></div>": T,
+    f"<div class='right-rail'><p>{T}": T,
+    f"<div class='banner'><main><p>{T}</p></main></div>": T,
+    f"<div class='right-rail'><p>{T}</p></div><div>Made in 2020</div>": f"{T}\n\nMade in 2020",
+    f"<div class='left-sidebar'><h1>Title</h1><p>{T}</p><div id='comments'><article>{BODY}</article></div></div>": f"Title\n\n{T}",
+    f"<article><header class='entry-header'><h1>Title</h1></header><div class='post-header'>By me</div><p>{T}</p></article>": f"Title\n\nBy me\n\n{T}",
+    f"<div><div class='entry-header'><h1>Title</h1></div><p>{T}</p></div><div class='page-header'>No</div>": f"Title\n\n{T}",
+    f"<article><svg class='i'/><p>{T}</p><svg/><p>b</p><button disabled/><p>c</p><iframe src=/x/>no</iframe><svg a='>'>no</svg><p>d</p></article>": f"{T}\n\nb\n\nc\n\nd",
+    f"<article><button-group><p>{T}</p></button-group><map-view>x</map-view></article>": f"{T}\n\nx",
+    f"<div><p>{T}</p></div><div class='comment'><h1>Hi</h1><p>{END}</p></div><div hidden><main>{BODY}</main></div>": T,
+}
+
+
+@pytest.mark.parametrize("page", NAMED)
+def test_names_and_classes_drop_what_they_mark_only(page):
+    assert html.main_text(page) == NAMED[page]
+
+
 @given(st.text(alphabet="<>/!-\"'=apdivnrtcle &;#x", max_size=200))
 @settings(max_examples=300, deadline=None)
 def test_never_fails(page):
