@@ -152,6 +152,16 @@ def unify_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.unify(c.where("c_custkey % 3 != 0"), right, ["c_custkey"]).select("c_custkey", "balance", (F.size("_conflicts") > 0).alias("clash"))
 
 
+@query("""
+SELECT coalesce(c.c_custkey, o.c_custkey) AS c_custkey, coalesce(c.n, o.n) AS n, c.c_mktsegment, o.spent, coalesce(c.n <> o.n, false) AS clash
+FROM (SELECT c_custkey, c_nationkey::BIGINT AS n, c_mktsegment FROM customer) c FULL OUTER JOIN
+     (SELECT o_custkey AS c_custkey, count(*) AS n, max(o_totalprice) AS spent FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.c_custkey""")
+def unify_customers_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("n"), "c_mktsegment")
+    o = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("spent"))
+    return frame.unify(c, o, ["c_custkey"]).select("c_custkey", "n", "c_mktsegment", "spent", (F.size("_conflicts") > 0).alias("clash"))
+
+
 @query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS status, count(DISTINCT o_orderstatus) > 1 AS clash FROM orders GROUP BY o_custkey")
 def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _t(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("status"))
