@@ -2,8 +2,7 @@
 
 A document's UTF-8 bytes are laid out in overlapping chunks that cover all of it. Learned filters over embedded bytes are
 max-pooled in each chunk; the mean and the maximum over the chunks are combined into one probability. Training runs on
-the driver over a bounded sample of labelled documents: TRAIN_ROWS of them in hash order, TRAIN_CHUNKS evenly spread chunks of
-each. Scoring runs in Arrow functions over all chunks of every document.
+the driver over a bounded sample of labelled documents, TRAIN_ROWS of them in hash order, each with all its chunks. Scoring runs in Arrow functions over all chunks of every document.
 """
 
 from __future__ import annotations
@@ -20,8 +19,8 @@ from meetspark.llm.common import bound_batches, bytes_of
 
 #: Bytes of a chunk and between chunk starts; bytes that a filter sees; embedding size; filters.
 CHUNK, STEP, WIDTH, DIM, FILTERS = 512, 384, 8, 8, 32
-#: The bound of the training sample: labelled documents, and chunks of each.
-TRAIN_ROWS, TRAIN_CHUNKS = 3000, 12
+#: The bound of the training sample: labelled documents.
+TRAIN_ROWS = 3000
 #: Passes over the sample, least number of steps, documents of a step, learning rate, weight decay, seed.
 EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 10, 500, 24, 0.01, 1e-4, 7
 #: Chunks that are convolved at once.
@@ -99,12 +98,14 @@ class Network:
         shared = np.add.reduceat(is_top.astype(np.float32), first, axis=0)[document]
         flow = error[document, None] * (self.mean_weight / counts[document, None] + is_top * self.max_weight / shared)
         flow = np.where(best > 0, flow, 0).astype(np.float32)
-        seen = chunks[np.arange(len(chunks))[:, None, None], where[:, :, None] + np.arange(WIDTH)]  # chunk, filter, byte
-        windows = self.embed[seen].reshape(len(chunks), FILTERS, WIDTH * DIM)
-        to_filters = np.einsum("cf,cfw->wf", flow, windows)
-        back = (flow[:, :, None] * self.filters.T[None]).reshape(-1, DIM)
-        to_embed = np.zeros_like(self.embed)
-        np.add.at(to_embed, seen.reshape(-1), back)
+        to_filters, to_embed = np.zeros_like(self.filters), np.zeros_like(self.embed)
+        for at in range(0, len(chunks), BLOCK):
+            some, part = chunks[at : at + BLOCK], flow[at : at + BLOCK]
+            seen = some[np.arange(len(some))[:, None, None], where[at : at + BLOCK, :, None] + np.arange(WIDTH)]  # chunk, filter, byte
+            windows = self.embed[seen].reshape(len(some), FILTERS, WIDTH * DIM)
+            to_filters += np.einsum("cf,cfw->wf", part, windows)
+            back = (part[:, :, None] * self.filters.T[None]).reshape(-1, DIM)
+            np.add.at(to_embed, seen.reshape(-1), back)
         return [to_embed, to_filters, flow.sum(axis=0), mean.T @ error, top.T @ error, np.array([error.sum()])]
 
 
@@ -144,7 +145,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [chunks_of(x, TRAIN_CHUNKS).tobytes() for x in bytes_of(batch.column(2))]
+            parts = [chunks_of(x).tobytes() for x in bytes_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], names=["id", "label", "chunks"])
 
     labelled = text.join(F.broadcast(sample), "id").dropDuplicates(["id", "label"]).select("id", "label", "text")

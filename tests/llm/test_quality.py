@@ -69,6 +69,15 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.predicted == known[r.doc_id] for r in held]) > 0.95
 
 
+def test_training_sees_every_byte_of_its_documents(spark, monkeypatch):
+    docs = {i: ("word " * 200 * i + f"<{i}>" + " more" * 150 * i)[: 9000 * i] for i in range(1, 9)}
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda parts, labels: seen.extend(x.tobytes() for x in parts))
+    ids = [i for i in docs if zlib.crc32(str(i).encode()) % 3 != 1]
+    quality.fit(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in docs], "doc_id long, quality int"))
+    assert sorted(seen) == sorted(quality.chunks_of(docs[i].encode()).tobytes() for i in ids)
+
+
 def test_nothing(spark):
     docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")
     assert quality.classify(docs, labels).collect() == []
