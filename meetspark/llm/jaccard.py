@@ -9,7 +9,7 @@ components. Regions that lie in one component are done, however many documents t
 largest component become pivots, and are compared with the nodes of other components whose distances from the first pivot
 lie in the triangle inequality's window. Large ones of the same first pivot are put together and joined block by block,
 in rings around that pivot as wide as the window, boundary blocks going to both rings. So no link between components is missed, and no
-group is expanded into all its pairs.
+group is expanded into all its pairs. The links found span the components; other links inside a component are not looked for.
 """
 
 from __future__ import annotations
@@ -153,7 +153,11 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets_of: Sets | None = None, percent: int = PERCENT, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (id, n, node), components (node, root) of nodes with links, and the links found (a, b, likeness)."""
+    """Documents (id, n, node), components (node, root) of nodes with links, and the links found (a, b, likeness).
+
+    The components are exact; the links are only a subset that spans them. Nodes that are already in one component are not compared, so
+    further pairs at least percent/100 alike are missing, and a document's number of links can't be had from them.
+    """
     spark = documents.sparkSession
     bound_batches(spark)
     every = materialise(prefixes(documents, id_col, text_col, sets_of or word_sets(), percent), "prefixes")
