@@ -2,8 +2,8 @@
 
 Common words of four languages are the anchors; a signature is an anchor and the CHAIN content words that follow it, whatever
 common words stand between. Content words with no common word shortly before them count by themselves, so that tables and
-lists have signatures too. A fingerprint lists the distinct signatures as 32-bit hashes. Fingerprints are compared by Jaccard similarity, and pairs whose
-lengths or remaining signatures can't reach a wanted likeness are given up early.
+lists have signatures too. A fingerprint lists the distinct signatures as 32-bit hashes. Fingerprints are compared by Jaccard similarity; likeness() can
+give up early on a pair that can't reach a wanted one. Near duplicates are joined by operator 8, without partitions by length.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -72,10 +74,11 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     n, m = len(a), len(b)
     if not n or not m:
         return float(n == m)
-    if min(n, m) < least * max(n, m):
-        return 0.0
     if least:
-        some = 1 + int((1 - least) * n)  # of so many, a set at least that alike shares one
+        share = Fraction(str(least))
+        if min(n, m) < share * max(n, m):
+            return 0.0
+        some = 1 + n - ceil(share * n)  # of so many, a set at least that alike shares one
         if not np.isin(a[:some], b, assume_unique=True).any():
             return 0.0
     both = np.concatenate([a, b])

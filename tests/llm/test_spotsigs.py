@@ -64,3 +64,8 @@ def test_near_duplicates(spark):
 
 def test_nothing(spark):
     assert spotsigs.fingerprint_edits(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_pruning_keeps_pairs_at_the_threshold():
+    assert spotsigs.likeness(np.arange(1, 6), np.arange(2, 6), 0.8) == 0.8
+    assert spotsigs.likeness(np.arange(100), np.arange(45, 100), 0.55) == 0.55
