@@ -1,5 +1,9 @@
+import functools
+
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from meetspark.llm import tokens
@@ -22,13 +26,28 @@ def test_ids_are_those_of_the_library(library):
     assert [len(x) for x in encoder.ids(pa.array([None, "a"]))] == [0, 1] and list(encoder.ids(pa.array([], pa.string()))) == []
 
 
+@given(st.lists(st.lists(st.sampled_from([*"abZ09 .,'-_()\n\t\x00éß½ª°“…日😀Ω", "'s", "'ll", "<|endoftext|>", "\u0301", "\xa0", "\u2028"]), max_size=12).map("".join), max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_ids_of_texts_of_all_kinds_of_characters(texts):
+    encoder = tokens.encoder_of(tokens.TOKENIZER)
+    assert [x.tolist() for x in encoder.ids(pa.array(texts, pa.string()))] == [x.ids for x in _plain().encode_batch(texts, add_special_tokens=False)]
+
+
+@functools.cache
+def _plain():
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(tokens.resolve(tokens.TOKENIZER))
+
+
 def test_memory_is_bounded_and_harmless(library, monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_PIECES", 5)
+    monkeypatch.setattr(tokens, "MEMO_PARTS", 5)
     encoder = tokens.Encoder(tokens.TOKENIZER)
     texts = [f"word{i} and word{i % 3} again" for i in range(50)]
     for text in texts:
         assert encoder.counts(pa.array([text])).tolist() == [len(library.encode(text).ids)]
-    assert len(encoder.memo) < 20
+    assert len(encoder.memo) < 20 and len(encoder.parts) < 20 and encoder.pool.runs < 60
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
