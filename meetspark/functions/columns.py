@@ -6,21 +6,23 @@ Where the constant evaluator refuses an argument (out of bounds, division by zer
 from __future__ import annotations
 
 import functools
-import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meetspark.functions import special
+from meetspark.functions import arrays
 
 STRING, LONG, DOUBLE, BOOL, BINARY = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.BinaryType()
 #: Characters that the regular expressions of Java read as white space with the Unicode flag.
 _SPACE = r"(?U)\s"
+#: Items that an expression may make.
+MOST_ITEMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -55,30 +57,81 @@ def _double(x: Typed) -> Column:
 
 
 def _int(x: Typed) -> Column:
-    return x.column.cast("int")
+    """As an index; NULL where that is beyond any list or text."""
+    return x.column.try_cast("int")
 
 
 def _finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
-def arrow_double(run: Callable[..., float], *args: Column) -> Column:
-    """A function of doubles that Catalyst lacks, in Arrow batches; NULL where it has no finite value."""
+def arrow_double(run: Callable[..., np.ndarray], *args: Column) -> Column:
+    """A function of arrays of doubles that Catalyst lacks, in Arrow batches; NULL where it has no finite value."""
 
     @F.arrow_udf("double")
     def apply(*columns: pa.Array) -> pa.Array:
-        out = []
-        for row in zip(*(c.to_pylist() for c in columns), strict=True):
-            try:
-                value = None if None in row else float(run(*row))
-                out.append(value if value is not None and math.isfinite(value) else None)
-            except (ValueError, OverflowError, ArithmeticError):
-                out.append(None)
-        return pa.array(out, pa.float64())
+        null = np.zeros(len(columns[0]), dtype=bool)
+        for c in columns:
+            null |= c.is_null().to_numpy(zero_copy_only=False)
+        with np.errstate(all="ignore"):
+            out = run(*(c.fill_null(1.0).to_numpy(zero_copy_only=False) for c in columns))
+        return pa.array(out, pa.float64(), mask=null | ~np.isfinite(out))
 
     return apply(*args)
 
 
+def exact_decimal(x: Typed) -> Column:
+    """A number as the decimal that its shortest text denotes; NULL where 38 digits, 18 of them after the point, don't hold it."""
+    if isinstance(x.kind, T.DecimalType):
+        return x.column.try_cast("decimal(38,18)")
+    if isinstance(x.kind, T.IntegralType):
+        return x.column.cast("decimal(38,18)")
+    number = x.column.cast("string").try_cast("decimal(38,18)")
+    return F.when(number.cast("double") == x.column.cast("double"), number)
+
+
+def multiple_of(x: Typed, d: Typed) -> Column:
+    """Whether x is a multiple of d, by decimals; by the remainder of doubles where those don't hold both."""
+    if isinstance(x.kind, T.IntegralType) and isinstance(d.kind, T.IntegralType):
+        return (x.column % F.when(d.column != 0, d.column)) == 0
+    a, b = exact_decimal(x), exact_decimal(d)
+    plain = (_double(x) % F.when(_double(d) != 0, _double(d))) == 0
+    return F.coalesce((a % F.when(b != 0, b)) == 0, plain)
+
+
+def _whole(run: Callable[[Column], Column]) -> Callable[..., Typed]:
+    """A rounding to integers: of integers themselves, of decimals exact, of doubles as they are from 2^53 on, where all are integers."""
+
+    def rounded(x: Typed) -> Typed:
+        if isinstance(x.kind, T.IntegralType):
+            return Typed(x.column, x.kind)
+        if isinstance(x.kind, T.DecimalType):
+            wide = T.DecimalType(min(38, x.kind.precision - x.kind.scale + 1), 0)
+            return Typed(run(x.column).cast(wide), wide)
+        v = _double(x)
+        return Typed(F.when(F.abs(v) < 2.0**53, run(v).cast("double")).otherwise(v), DOUBLE)
+
+    return rounded
+
+
+def _away(x: Column) -> Column:
+    """The nearest integer, halves away from zero. A half is not added, as it may carry."""
+    low = F.floor(F.abs(x))
+    return F.when(F.abs(x) - low >= 0.5, low + 1).otherwise(low) * F.signum(x)
+
+
+def _negative(x: Column) -> Column:
+    """Whether a double has its sign set; -0.0 has, which only its text shows, as comparisons and functions take it for 0.0."""
+    return F.when(x == 0, x.cast("string") == "-0.0").otherwise(x < 0)
+
+
+def _exponent(x: Column) -> Column:
+    """The binary exponent of a finite number that is not 0."""
+    size = F.abs(x)
+    about = F.floor(F.log2(size))  # off by one at the most
+    return F.when((size > 0) & (size < float("inf")), about + F.when(F.pow(F.lit(2.0), about + 1) <= size, 1).when(F.pow(F.lit(2.0), about) > size, -1).otherwise(0))
+
+
 def _pieces(s: Column, sep: Typed, n: Column | int, keep: bool) -> Column:
     text = str(_literal(sep))
     if not text:
@@ -126,6 +179,11 @@ def _bounded(a: Column, b: Column, n: Column, out: Column) -> Column:
     return F.when((a >= 0) & (a <= b) & (b <= n), out)
 
 
+def _up_to(x: Typed, n: Typed) -> Column:
+    """A count of a list's items, at most all of them."""
+    return F.least(n.column.cast("double"), F.size(x.column).cast("double")).cast("int")
+
+
 def _elements(x: Typed) -> T.DataType:
     if not isinstance(x.kind, T.ArrayType):
         raise ValueError("an array is wanted")
@@ -162,14 +220,31 @@ def _range(start: Typed, limit: Typed, step: Typed) -> Column:
     return F.when((s == 0) | ((b - a) * s < 0), None).when(n <= 0, F.array().cast("array<double>")).otherwise(values)
 
 
-def _euclid(a: Column, b: Column, divide: bool) -> Column:
-    a, b = a.cast("long"), F.when(b != 0, b.cast("long"))
-    rest = F.pmod(a, F.abs(b))
-    return ((a - rest) / b).cast("long") if divide else rest
+def _division(name: str) -> Callable[..., Typed]:
+    """Integer division over 38 digits, truncated (quo, rem) or Euclidean (div, mod); NULL by 0, and beyond 64 bits unless decimals are divided."""
+
+    def divided(x: Typed, y: Typed) -> Typed:
+        wide = T.DecimalType(38, 0)
+        a, b = (F.when(v.column == v.column.try_cast(wide), v.column.try_cast(wide)) for v in (x, y))
+        b = F.when(b != 0, b)
+        rest = a % b
+        if name in ("div", "mod"):
+            rest = F.when(rest < 0, rest + F.abs(b)).otherwise(rest)
+        out = (rest if name in ("rem", "mod") else F.call_function("div", (a - rest).cast(wide), b)).cast(wide)
+        kind = wide if any(isinstance(v.kind, T.DecimalType) for v in (x, y)) else LONG
+        return Typed(out if kind is wide else out.try_cast("long"), kind)
+
+    return divided
 
 
-def _quo(a: Column, b: Column) -> Column:
-    return F.when(b != 0, F.call_function("div", a.cast("long"), b.cast("long")))
+def _jacobi(a: Column, b: Column) -> Column:
+    @F.arrow_udf("long")
+    def apply(x: pa.Array, y: pa.Array) -> pa.Array:
+        null = (x.is_null().to_numpy(zero_copy_only=False)) | (y.is_null().to_numpy(zero_copy_only=False))
+        out, odd = arrays.jacobi(x.fill_null(1).to_numpy(zero_copy_only=False), y.fill_null(1).to_numpy(zero_copy_only=False))
+        return pa.array(out, pa.int64(), mask=null | ~odd)
+
+    return apply(a.try_cast("long"), b.try_cast("long"))
 
 
 def _f(kind: T.DataType, run: Callable[..., Column]) -> Callable[..., Typed]:
@@ -184,15 +259,31 @@ def _arrow(run: Callable[..., float]) -> Callable[..., Typed]:
     return lambda *args: Typed(arrow_double(run, *(_double(x) for x in args)), DOUBLE)
 
 
+def _met(x: Typed, every: bool) -> Typed:
+    """The items of a list unified, or as a choice that must come to one value: what they all are; NULL where they differ. Of no items, `or` is NULL."""
+    items = F.array_distinct(x.column)
+    return Typed(F.when((F.size(items) == 1) & ~F.exists(items, lambda v: v.isNull()), F.get(items, F.lit(0))), _elements(x))
+
+
+def _closed(x: Typed) -> Typed:
+    """A struct or map as it is: a value without constraints has no field to refuse."""
+    if not isinstance(x.kind, (T.StructType, T.MapType)):
+        raise ValueError("a struct is wanted")
+    return x
+
+
 _c = lambda run: lambda *args: run(*(x.column for x in args))
 
 COLUMNS: dict[str, Callable[..., Typed]] = {
     # core
     "len": lambda x: Typed((F.size(x.column) if isinstance(x.kind, (T.ArrayType, T.MapType)) else F.lit(len(x.kind)) if isinstance(x.kind, T.StructType) else F.octet_length(x.column)).cast("long"), LONG),
-    "quo": _f(LONG, _c(_quo)),
-    "rem": _f(LONG, _c(lambda a, b: a.cast("long") % F.when(b != 0, b.cast("long")))),
-    "div": _f(LONG, _c(lambda a, b: _euclid(a, b, True))),
-    "mod": _f(LONG, _c(lambda a, b: _euclid(a, b, False))),
+    "quo": _division("quo"),
+    "rem": _division("rem"),
+    "div": _division("div"),
+    "mod": _division("mod"),
+    "and": lambda x: _met(x, True),
+    "or": lambda x: _met(x, False),
+    "close": lambda x: _closed(x),
     # strings
     "strings.ByteAt": _f(LONG, lambda s, i: F.when((i.column >= 0) & (i.column < F.octet_length(s.column)), F.conv(F.hex(F.substring(s.column.cast("binary"), _int(i) + 1, F.lit(1))), 16, 10).cast("long"))),
     "strings.ByteSlice": _f(BINARY, lambda s, a, b: _bounded(a.column, b.column, F.octet_length(s.column), F.substring(s.column.cast("binary"), _int(a) + 1, _int(b) - _int(a)))),
@@ -236,8 +327,8 @@ COLUMNS: dict[str, Callable[..., Typed]] = {
     "list.Max": lambda x: Typed(F.array_max(x.column), _elements(x)),
     "list.Concat": lambda x: Typed(F.flatten(x.column), _elements(x)),
     "list.Contains": _f(BOOL, lambda x, v: F.exists(x.column, lambda y: y.eqNullSafe(v.column))),
-    "list.Drop": lambda x, n: Typed(F.when(n.column >= 0, F.slice(x.column, _int(n) + 1, F.greatest(F.size(x.column) - _int(n), F.lit(0)))), x.kind),
-    "list.Take": lambda x, n: Typed(F.when(n.column >= 0, F.slice(x.column, 1, _int(n))), x.kind),
+    "list.Drop": lambda x, n: Typed(F.when(n.column >= 0, F.slice(x.column, _up_to(x, n) + 1, F.size(x.column) - _up_to(x, n))), x.kind),
+    "list.Take": lambda x, n: Typed(F.when(n.column >= 0, F.slice(x.column, 1, _up_to(x, n))), x.kind),
     "list.Slice": lambda x, a, b: Typed(_bounded(a.column, b.column, F.size(x.column), F.slice(x.column, _int(a) + 1, F.greatest(_int(b) - _int(a), F.lit(0)))), x.kind),
     "list.FlattenN": _flat,
     "list.IsSorted": _f(BOOL, lambda x, o: x.column == _sorted(x, o)),
@@ -246,41 +337,41 @@ COLUMNS: dict[str, Callable[..., Typed]] = {
     "list.MaxItems": _f(BOOL, _c(lambda x, n: F.size(x) <= n)),
     "list.UniqueItems": _f(BOOL, _c(lambda x: F.size(F.array_distinct(x)) == F.size(x))),
     "list.Range": _f(array_of(DOUBLE), _range),
-    "list.Repeat": lambda x, n: Typed(F.when(n.column >= 0, F.flatten(F.array_repeat(x.column, _int(n)))), x.kind),
+    "list.Repeat": lambda x, n: Typed(F.when((n.column >= 0) & (n.column.cast("double") * F.size(x.column) <= MOST_ITEMS), F.flatten(F.array_repeat(x.column, F.least(_int(n), F.lit(MOST_ITEMS))))), x.kind),
     "list.Reverse": lambda x: Typed(F.reverse(x.column), x.kind),
     "list.Sort": lambda x, o: Typed(_sorted(x, o), x.kind),
     "list.SortStable": lambda x, o: Typed(_sorted(x, o), x.kind),
     "list.SortStrings": lambda x: Typed(F.array_sort(x.column), x.kind),
     # math
     "math.Abs": lambda x: Typed(F.abs(x.column), x.kind),
-    "math.Ceil": _f(DOUBLE, lambda x: F.ceil(x.column).cast("double")),
-    "math.Floor": _f(DOUBLE, lambda x: F.floor(x.column).cast("double")),
-    "math.Round": _f(DOUBLE, lambda x: (F.signum(x.column) * F.floor(F.abs(x.column) + 0.5)).cast("double")),
+    "math.Ceil": _whole(F.ceil),
+    "math.Floor": _whole(F.floor),
+    "math.Round": _whole(_away),
     "math.RoundToEven": _f(DOUBLE, lambda x: F.rint(_double(x))),
-    "math.Trunc": _f(DOUBLE, lambda x: F.when(x.column < 0, F.ceil(x.column)).otherwise(F.floor(x.column)).cast("double")),
+    "math.Trunc": _whole(lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))),
     "math.Atan2": _f(DOUBLE, lambda y, x: F.atan2(_double(y), _double(x))),
     "math.Hypot": _f(DOUBLE, lambda x, y: F.hypot(_double(x), _double(y))),
     "math.Mod": _f(DOUBLE, lambda x, y: _double(x) % F.when(_double(y) != 0, _double(y))),
     "math.Remainder": _f(DOUBLE, lambda x, y: _double(x) - _double(y) * F.rint(_double(x) / F.when(_double(y) != 0, _double(y)))),
     "math.Cbrt": _f(DOUBLE, lambda x: F.cbrt(_double(x))),
-    "math.Copysign": _f(DOUBLE, lambda x, s: F.when(_double(s) < 0, -F.abs(_double(x))).otherwise(F.abs(_double(x)))),
-    "math.Signbit": _f(BOOL, _c(lambda x: x < 0)),
+    "math.Copysign": _f(DOUBLE, lambda x, s: F.when(_negative(_double(s)), -F.abs(_double(x))).otherwise(F.abs(_double(x)))),
+    "math.Signbit": _f(BOOL, lambda x: _negative(_double(x))),
     "math.Dim": _f(DOUBLE, lambda x, y: F.greatest(_double(x) - _double(y), F.lit(0.0))),
     "math.Ldexp": _f(DOUBLE, lambda x, n: _finite(_double(x) * F.pow(F.lit(2.0), n.column))),
     "math.Pow": _f(DOUBLE, lambda x, n: _finite(F.pow(_double(x), _double(n)))),
     "math.Pow10": _f(DOUBLE, lambda n: _finite(F.pow(F.lit(10.0), n.column))),
-    "math.MultipleOf": _f(BOOL, lambda x, d: (x.column % F.when(d.column != 0, d.column)) == 0),
-    "math.Erf": _arrow(math.erf),
-    "math.Erfc": _arrow(math.erfc),
-    "math.Gamma": _arrow(math.gamma),
-    "math.Ilogb": lambda x: Typed(arrow_double(lambda v: math.frexp(v)[1] - 1 if v else math.nan, _double(x)).cast("long"), LONG),
-    "math.Logb": _arrow(lambda v: math.frexp(v)[1] - 1 if v else math.nan),
-    "math.J0": _arrow(functools.partial(special.bessel_j, 0)),
-    "math.J1": _arrow(functools.partial(special.bessel_j, 1)),
-    "math.Jn": _arrow(lambda n, x: special.bessel_j(int(n), x)),
-    "math.Y0": _arrow(functools.partial(special.bessel_y, 0)),
-    "math.Y1": _arrow(functools.partial(special.bessel_y, 1)),
-    "math.Yn": _arrow(lambda n, x: special.bessel_y(int(n), x)),
-    "math.Jacobi": lambda a, b: Typed(arrow_double(lambda x, y: special.jacobi(int(x), int(y)), _double(a), _double(b)).cast("long"), LONG),
+    "math.MultipleOf": _f(BOOL, multiple_of),
+    "math.Erf": _arrow(arrays.erf),
+    "math.Erfc": _arrow(arrays.erfc),
+    "math.Gamma": _arrow(arrays.gamma),
+    "math.Ilogb": _f(LONG, lambda x: _exponent(_double(x)).cast("long")),
+    "math.Logb": _f(DOUBLE, lambda x: _exponent(_double(x)).cast("double")),
+    "math.J0": _arrow(functools.partial(arrays.bessel_j, 0)),
+    "math.J1": _arrow(functools.partial(arrays.bessel_j, 1)),
+    "math.Jn": _arrow(arrays.bessel_j),
+    "math.Y0": _arrow(functools.partial(arrays.bessel_y, 0)),
+    "math.Y1": _arrow(functools.partial(arrays.bessel_y, 1)),
+    "math.Yn": _arrow(arrays.bessel_y),
+    "math.Jacobi": lambda a, b: Typed(_jacobi(a.column, b.column), LONG),
 }
 COLUMNS |= {f"math.{x.capitalize()}": _unary(getattr(F, x)) for x in "acos acosh asin asinh atan atanh cos cosh expm1 log1p sin sinh sqrt tan tanh".split()}

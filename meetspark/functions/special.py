@@ -1,72 +1,20 @@
-"""Bessel functions and the Jacobi symbol, which neither Catalyst nor the standard library has."""
+"""Special functions of single numbers: Bessel functions, by their array forms, and the Jacobi symbol of integers of any size."""
 
 from __future__ import annotations
 
-import math
+import numpy as np
 
-EULER = 0.57721566490153286060651209008240243
-
-
-def _integral(f, top: float, parts: int = 2000) -> float:
-    """Simpson's rule; the integrands here are smooth and their periods many parts long."""
-    h = top / parts
-    return h / 3 * (f(0.0) + f(top) + 4 * math.fsum(f((2 * i + 1) * h) for i in range(parts // 2)) + 2 * math.fsum(f(2 * i * h) for i in range(1, parts // 2)))
+from meetspark.functions import arrays
 
 
 def bessel_j(n: int, x: float) -> float:
-    """J_n(x): its power series, or for large x Bessel's integral over [0, pi], whose periodic integrand any even rule sums exactly."""
-    if n < 0:
-        return (-1) ** n * bessel_j(-n, x)
-    if x < 0:
-        return (-1) ** n * bessel_j(n, -x)
-    if x <= 12:
-        term = (x / 2) ** n / math.factorial(n) if n <= 170 else math.exp(n * math.log(x / 2) - math.lgamma(n + 1)) if x else 0.0
-        terms, k = [term], 1
-        while k < 200 and abs(term) > 1e-30 * max(1e-300, abs(terms[0])):
-            term *= -(x * x / 4) / (k * (k + n))
-            terms.append(term)
-            k += 1
-        return math.fsum(terms)
-    m = 4 * int(x + n + 60)
-    return math.fsum(math.cos(n * t - x * math.sin(t)) * (0.5 if i in (0, m) else 1.0) for i in range(m + 1) for t in (math.pi * i / m,)) / m
-
-
-def _y_series(n: int, x: float) -> float:
-    """Y_0 or Y_1 by its series."""
-    q, total, term, psi = x * x / 4, [], 1.0, 0.0
-    if n == 0:
-        for k in range(1, 120):
-            term *= -q / (k * k)
-            psi += 1 / k
-            total.append(-term * psi)
-        return 2 / math.pi * ((math.log(x / 2) + EULER) * bessel_j(0, x) + math.fsum(total))
-    term, low, high = x / 2, 0.0, 1.0
-    for k in range(120):
-        total.append(term * (low + high - 2 * EULER))
-        term *= -q / ((k + 1) * (k + 2))
-        low, high = low + 1 / (k + 1), high + 1 / (k + 2)
-    return 2 / math.pi * math.log(x / 2) * bessel_j(1, x) - 2 / (math.pi * x) - math.fsum(total) / math.pi
+    """J_n(x)."""
+    return float(arrays.bessel_j(n, np.array([x]))[0])
 
 
 def bessel_y(n: int, x: float) -> float:
-    """Y_n(x) for x > 0: series or integral for orders 0 and 1, then the upward recurrence, which is stable."""
-    if x <= 0:
-        return -math.inf if x == 0 else math.nan
-    if n < 0:
-        return (-1) ** n * bessel_y(-n, x)
-    if x <= 12:
-        low, high = _y_series(0, x), _y_series(1, x)
-    else:
-        low, high = (
-            _integral(lambda t, k=k: math.sin(x * math.sin(t) - k * t), math.pi, 2 * int(20 * x + 1000)) / math.pi
-            - _integral(lambda t, k=k: (math.exp(k * t) + (-1) ** k * math.exp(-k * t)) * math.exp(-x * math.sinh(t)), 6.0, 20000) / math.pi
-            for k in (0, 1)
-        )
-    if n == 0:
-        return low
-    for k in range(1, n):
-        low, high = high, 2 * k / x * high - low
-    return high
+    """Y_n(x); -inf at 0, NaN below."""
+    return float(arrays.bessel_y(n, np.array([x]))[0])
 
 
 def jacobi(a: int, b: int) -> int:

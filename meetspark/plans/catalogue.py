@@ -126,6 +126,54 @@ def vet_nested_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.vet(df, '#N: {name: =~"^NATION_", region: int & <=3}\nn: #N').select("n_nationkey", F.least(F.size("_violations"), F.lit(1)).cast("long").alias("bad"))
 
 
+@query("""
+SELECT event_id, '$.props.' || CASE WHEN k < 30 THEN 'low' ELSE 'k' END || CASE WHEN k % 2 = 0 THEN '' ELSE '_odd' END AS path, CASE WHEN k < 30 THEN 'eval.multiple' ELSE 'eval.bound' END AS cause
+FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) t WHERE (k < 30 AND k % 5 <> 0) OR k > 60""")
+def vet_map_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    name = F.concat(F.when(k < 30, "low").otherwise("k"), F.when(k % 2 == 0, "").otherwise("_odd"))
+    df = _t(spark, sf_dir, "events").select("event_id", F.create_map(name, k).alias("props"))
+    found = frame.violations_of(df, 'import "math"\nprops: {[=~"^low"]: math.MultipleOf(5), [=~"^k"]: <=60}')
+    cause = F.when(F.col("cause") == "eval.numeric_multiple_mismatch", "eval.multiple").when(F.col("cause") == "eval.numeric_bound_mismatch", "eval.bound").otherwise(F.col("cause"))
+    return found.select("event_id", "path", cause.alias("cause"))
+
+
+@query("""
+SELECT conv_id, '$.roles[' || (i - 1) || ']' AS path, CASE WHEN r[i] IS NULL THEN 'eval.kind_conflict' ELSE 'eval.conflict' END AS cause
+FROM (SELECT conv_id, r, unnest(range(1, len(r) + 1)) AS i FROM (SELECT conv_id, list(nullif(role, 'system') ORDER BY turn, text) AS r FROM conversations GROUP BY conv_id) t) u WHERE r[i] IS NULL OR r[i] <> 'user'""")
+def vet_null_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text", "role"))).alias("t"))
+    roles = turns.select("conv_id", F.transform("t", lambda x: F.nullif(x["role"], F.lit("system"))).alias("roles"))
+    return frame.violations_of(roles, 'roles: [..."user"]').select("conv_id", "path", "cause")
+
+
+@query("""
+SELECT path, cause, count(*) AS n FROM (
+  SELECT unnest([CASE WHEN o_orderstatus = 'P' THEN '$.o.status|eval.conflict' END, CASE WHEN o_totalprice >= 250000 THEN '$.o.price|eval.numeric_bound_mismatch' END, CASE WHEN o_orderkey % 3 = 0 THEN '$.o.note|eval.conflict' END,
+    CASE WHEN o_orderkey % 5 = 0 THEN '$.o|eval.closed_struct' END, CASE WHEN o_orderkey % 7 = 0 THEN '$.o.lines[1]|eval.kind_conflict' ELSE '$.o.lines[1]|eval.numeric_bound_mismatch' END]) AS v FROM orders) t,
+  (SELECT 1) o(one), LATERAL (SELECT split_part(v, '|', 1) AS path, split_part(v, '|', 2) AS cause) s WHERE v IS NOT NULL GROUP BY path, cause""")
+def vet_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third, fifth, seventh = (F.col("o_orderkey") % i == 0 for i in (3, 5, 7))
+    text = F.concat(F.lit('{"status": "'), F.col("o_orderstatus"), F.lit('", "price": '), F.col("o_totalprice").cast("decimal(20,2)").cast("string"), F.when(third, ', "note": 5').otherwise(', "note": null'), F.when(fifth, ', "more": true').otherwise(""), F.lit(', "lines": [1, '), F.when(seventh, '"x"').otherwise("9.5"), F.lit("]}"))
+    df = _t(spark, sf_dir, "orders").select(sources.variant(text).alias("o"))
+    return frame.summary(df, '#O: {status: "O" | "F", price: number & <250000, note: string | null, lines: [int, ...<9], gift?: bool}\no: #O')
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 OR p_size > 40 THEN '$.p_size' END AS size, CASE WHEN p_brand NOT IN ('Brand#1', 'Brand#2', 'Brand#3') THEN '$.p_brand' END AS brand, CASE WHEN p_type = 'SMALL' THEN '$.extra' END AS extra FROM part")
+def vet_and_or_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", F.struct(F.col("p_name").alias("name"), F.when(F.col("p_type") == "SMALL", F.col("p_type")).alias("type")).alias("extra"))
+    found = frame.vet(df, 'p_size: and([>=10, <=40])\np_brand: or(["Brand#1", "Brand#2", "Brand#3"])\nextra: close({name: string})')
+    path = lambda p: F.get(F.filter(F.transform("_violations", lambda v: v["path"]), lambda x: x == p), F.lit(0))
+    return found.select("p_partkey", path("$.p_size").alias("size"), path("$.p_brand").alias("brand"), path("$.extra").alias("extra"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_tax * 100)::BIGINT % 2 <> 0 AS tax, round(l_discount * 1000)::BIGINT % 30 <> 0 AS discount FROM lineitem")
+def vet_decimal_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = frame.vet(_t(spark, sf_dir, "lineitem"), 'import "math"\nl_tax: math.MultipleOf(0.02)\nl_discount: math.MultipleOf(0.03)')
+    has = lambda p: F.exists("_violations", lambda v: v["path"] == p)
+    return found.select("l_orderkey", "l_linenumber", has("$.l_tax").alias("tax"), has("$.l_discount").alias("discount"))
+
+
 # ---------------------------------------------------------------- conforming, merging, selecting
 
 
@@ -143,13 +191,23 @@ def conform_deferred_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT coalesce(c.c_custkey, o.k) AS c_custkey, coalesce(c.balance, o.balance) AS balance, coalesce(c.balance <> o.balance, false) AS clash
-FROM (SELECT c_custkey, round(c_acctbal) AS balance FROM customer WHERE c_custkey % 3 <> 0) c FULL OUTER JOIN
-     (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 0.0 ELSE round(c_acctbal) END AS balance FROM customer WHERE c_custkey % 2 = 0) o ON c.c_custkey = o.k""")
+SELECT coalesce(p.p_partkey, c.c_custkey) AS k, coalesce(p.p_size::BIGINT, c.c_nationkey::BIGINT) AS n, p.p_brand AS brand, c.c_mktsegment AS segment, coalesce(p.p_size <> c.c_nationkey, false) AS clash
+FROM part p FULL OUTER JOIN customer c ON p.p_partkey = c.c_custkey""")
 def unify_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "customer").select("c_custkey", F.round("c_acctbal").alias("balance"))
-    right = c.where("c_custkey % 2 = 0").withColumn("balance", F.when(F.col("c_custkey") % 5 == 0, 0.0).otherwise(F.col("balance")))
-    return frame.unify(c.where("c_custkey % 3 != 0"), right, ["c_custkey"]).select("c_custkey", "balance", (F.size("_conflicts") > 0).alias("clash"))
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("n"), F.col("p_brand").alias("brand"))
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("n"), F.col("c_mktsegment").alias("segment"))
+    return frame.unify(p, c, ["k"]).select("k", "n", "brand", "segment", (F.size("_conflicts") > 0).alias("clash"))
+
+
+@query("""
+SELECT coalesce(p.p_partkey, c.c_custkey) AS k, coalesce(p.p_brand, c.c_name) AS name, p.p_size::BIGINT AS size, c.c_nationkey::BIGINT AS nation, coalesce(p.p_size::BIGINT, c.c_nationkey::BIGINT) AS m_n, p.p_type AS m_type, c.c_mktsegment AS m_segment,
+  concat_ws(',', CASE WHEN p.p_size <> c.c_nationkey THEN 'm.n' END, CASE WHEN p.p_brand <> c.c_name THEN 's.name' END) AS clashes
+FROM (SELECT p_partkey, p_brand, p_size, p_type FROM part) p FULL OUTER JOIN customer c ON p.p_partkey = c.c_custkey""")
+def unify_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.struct(F.col("p_brand").alias("name"), F.col("p_size").cast("long").alias("size")).alias("s"), F.create_map(F.lit("n"), F.col("p_size").cast("string"), F.lit("type"), F.col("p_type")).alias("m"))
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("nation")).alias("s"), F.create_map(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("segment"), F.col("c_mktsegment")).alias("m"))
+    out = frame.unify(p, c, ["k"])
+    return out.select("k", "s.name", "s.size", "s.nation", F.try_element_at("m", F.lit("n")).cast("long").alias("m_n"), F.try_element_at("m", F.lit("type")).alias("m_type"), F.try_element_at("m", F.lit("segment")).alias("m_segment"), F.array_join(F.array_sort("_conflicts"), ",").alias("clashes"))
 
 
 @query("""
@@ -168,6 +226,16 @@ def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.merge(df, ["o_custkey"]).select("o_custkey", "status", (F.size("_conflicts") > 0).alias("clash"))
 
 
+@query("""
+SELECT user_id, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) END AS kind, count(DISTINCT event_type) > 1 AS kind_clash, CASE WHEN count(DISTINCT k) = 1 THEN min(k) END AS k, count(DISTINCT k) > 1 AS k_clash, count(DISTINCT event_type) AS entries
+FROM (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) t GROUP BY user_id""")
+def merge_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = F.from_json("props", "map<string,long>")
+    df = _t(spark, sf_dir, "events").select("user_id", F.struct(F.col("event_type").alias("kind")).alias("s"), props.alias("m"), F.create_map(F.col("event_type"), F.lit(1)).alias("seen"))
+    out = frame.merge(df, ["user_id"])
+    return out.select("user_id", "s.kind", F.array_contains("_conflicts", "s.kind").alias("kind_clash"), F.try_element_at("m", F.lit("k")).alias("k"), F.array_contains("_conflicts", "m.k").alias("k_clash"), F.size("seen").cast("long").alias("entries"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def lookup_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _t(spark, sf_dir, "events").select("event_id", sources.variant(F.col("props")).alias("props"))
@@ -237,12 +305,49 @@ def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.select_expr(df, l_orderkey="l_orderkey", part="[for l in lines[1:3] {l.line}]").withColumn("part", F.array_join(F.col("part").cast("array<string>"), "|"))
 
 
-@query("SELECT x AS v FROM (VALUES ('BUILDING'), ('MACHINERY')) t(x)")
+@query("SELECT c_custkey, c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS bad FROM customer")
 def choice_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from meetspark.plans.evaluate import Schema
+    df = _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    found = frame.vet(df, '#A: "AUTOMOBILE" | "BUILDING" | "MACHINERY"\n#B: "BUILDING" | "FURNITURE" | "MACHINERY"\nc_mktsegment: #A & #B')
+    return found.select("c_custkey", (F.size("_violations") > 0).alias("bad"))
+
+
+@query("SELECT o_orderkey, o_orderkey + 9007199254740992 AS big, (o_orderkey + 9007199254740992) // 7 AS q, (o_orderkey + 9007199254740992) % 7 AS r, (-o_orderkey - 9007199254740992) % 7 AS rem, CAST(((-o_orderkey - 9007199254740992) - ((-o_orderkey - 9007199254740992) % 7 + 7) % 7) // 7 AS BIGINT) AS d, ((-o_orderkey - 9007199254740992) % 7 + 7) % 7 AS m FROM orders")
+def exact_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") + 2**53).alias("big"), (-F.col("o_orderkey") - 2**53).alias("low"))
+    return frame.select_expr(df, o_orderkey="o_orderkey", big="math.Abs(low)", q="quo(big, 7)", r="rem(big, 7)", rem="rem(low, 7)", d="div(low, 7)", m="mod(low, 7)")
+
+
+@query("SELECT l_orderkey, l_linenumber, ceil(l_tax * 1e21) AS c, floor(l_tax * 1e21) AS f, trunc(l_tax * 1e21) AS t, round(l_tax * 1e21) AS r, (l_tax - l_discount) * 0.0 = 0 AND signbit((l_tax - l_discount) * 0.0) AS negative, CASE WHEN signbit((l_tax - l_discount) * 0.0) THEN -l_quantity ELSE l_quantity END AS signed FROM lineitem")
+def rounding_and_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_tax") * 1e21).alias("x"), ((F.col("l_tax") - F.col("l_discount")) * 0.0).alias("z"))
+    return frame.select_expr(df, l_orderkey="l_orderkey", l_linenumber="l_linenumber", c="math.Ceil(x)", f="math.Floor(x)", t="math.Trunc(x)", r="math.Round(x)", negative="math.Signbit(z)", signed="math.Copysign(l_quantity, z)")
 
-    found = Schema.parse('a: "AUTOMOBILE" | "BUILDING" | "MACHINERY"\nb: "BUILDING" | "FURNITURE" | "MACHINERY"\nc: a & b').lookup("c").value
-    return spark.createDataFrame([(v.value,) for v, _ in found.alternatives], "v string")
+
+@query("SELECT l_orderkey, len(list(l_linenumber)) AS n, list(l_linenumber ORDER BY l_linenumber)[3000000000] AS none FROM lineitem GROUP BY l_orderkey")
+def counts_beyond_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.select_expr(_orders(spark, sf_dir), l_orderkey="l_orderkey", n="len(list.Take(lines, 3000000000))", none="lines[3000000000].line").withColumn("none", F.col("none").cast("int"))
+
+
+@query("SELECT event_id, 1::BIGINT AS own, k + 1.0 AS k, k * 2.0 AS twice, CASE WHEN k > 50 THEN 3 ELSE 2 END::BIGINT AS n FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) t")
+def struct_comprehension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,long>").alias("props"))
+    out = frame.select_expr(df, event_id="event_id", s='{own: 1, for k, v in props {"\\(k)": v + 1}, for k, v in props if v > 50 {"\\(k)2": v * 2}}', t='{for k, v in props {"\\(k)2": v * 2}}')
+    of = lambda c, k: F.try_element_at(c, F.lit(k))
+    return out.select("event_id", of("s", "own").cast("long").alias("own"), of("s", "k").alias("k"), of("t", "k2").alias("twice"), F.size("s").cast("long").alias("n"))
+
+
+@query("SELECT p_partkey, p_size::BIGINT AS size, CASE WHEN p_size > 25 THEN p_name END AS big, CASE WHEN p_size > 25 AND p_type = 'SMALL' THEN p_brand END AS both, CASE WHEN p_brand = p_type OR p_size <= 25 THEN p_type END AS met FROM part")
+def struct_if(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frame.select_expr(_t(spark, sf_dir, "part"), p_partkey="p_partkey", s='{size: p_size, met: p_type, if p_size > 25 {big: p_name, met: p_brand, if p_type == "SMALL" {both: p_brand}}}')
+    return out.select("p_partkey", F.col("s.size").cast("long").alias("size"), "s.big", "s.both", "s.met")
+
+
+@query("SELECT event_id, CASE WHEN count(DISTINCT v) = 1 THEN min(v) END AS v FROM (SELECT event_id, unnest([event_id % 3, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3]) AS v FROM events) t GROUP BY event_id")
+def struct_duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "events").select("event_id", F.array(F.col("event_id") % 3, F.get_json_object("props", "$.k").cast("long") % 3).alias("xs"))
+    out = frame.select_expr(df, event_id="event_id", s='{for x in xs {"\\("x")": x}}')
+    return out.select("event_id", F.try_element_at("s", F.lit("x")).alias("v"))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey::BIGINT AS region FROM nation")
@@ -258,6 +363,20 @@ def export_yaml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select(frame.lookup(text, "v.r_regionkey").cast("int").alias("r_regionkey"), frame.lookup(text, "v.r_name").cast("string").alias("r_name"))
 
 
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def export_toml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = sources.export(_t(spark, sf_dir, "nation"), "toml").select(F.parse_json(sources.to_json_text(F.col("value").cast("binary"), "toml")).alias("v"))
+    return text.select(*(frame.lookup(text, f"v.{name}").cast(kind).alias(name) for name, kind in (("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int"))))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, event_id % 4 = 0 AS malformed FROM events")
+def decode_malformed_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("k: ["), "props")).otherwise(F.concat(F.lit("k: "), F.get_json_object("props", "$.k")))
+    df = _t(spark, sf_dir, "events").select("event_id", text.cast("binary").alias("content"))
+    out = df.select("event_id", sources.decoded(F.col("content"), "yaml").alias("d"))
+    return out.select("event_id", F.try_variant_get("d.value", "$.k", "long").alias("k"), F.col("d.error").isNotNull().alias("malformed"))
+
+
 def queries() -> dict[str, Query]:
     return _QUERIES | builtin_queries.queries()
 

@@ -1,20 +1,22 @@
 """Constraints against the columns of a DataFrame: violations and conformed values as Catalyst expressions.
 
 A violation is a struct of path, code (bottom, incomplete ...), cause (what the constraint says) and message. Typed columns
-can't tell absent from null: NULL counts as absent, or as the value null with nullable_as_null. Violations are built by concat of
-conditional one-element arrays, which stays in generated code; only constraints on list items and map entries need lambdas.
+can't tell absent from null: NULL counts as absent, or as the value null with nullable_as_null; an item of a list is there, so NULL
+is the value null. VARIANT columns keep the difference, and are checked by each value's own kind. Violations are built by concat of
+conditional one-element arrays, which stays in generated code; only constraints on list items and map entries need lambdas, which
+give a violation for each failing item or entry, with its place and its own cause.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meetspark.functions.columns import Typed, is_number
+from meetspark.functions.columns import Typed, is_number, multiple_of
 from meetspark.plans import syntax as S
 from meetspark.plans.evaluate import Schema, walk
 from meetspark.plans.expressions import Columns, build, java_pattern
@@ -24,16 +26,28 @@ from meetspark.plans.lattice import meet as meet_values
 VIOLATION = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("path", "code", "cause", "message")]))
 
 
+#: A path: text, or a column where it names an item or entry.
+Path = str | Column
+
+
 @dataclass(frozen=True)
 class Finding:
     """A violation and when it holds."""
 
-    path: str
+    path: Path
     bad: Column
-    cause: Column
-    message: str
+    cause: Column | None
+    message: str | Column
     code: str = "eval.bottom"
     good: Column | None = None  # when it does not hold, in a form that scans can filter by; NULL counts as false
+    each: Column | None = None  # instead of one violation, an array of them
+
+
+def joined(path: Path, more: Path) -> Path:
+    """A path and what follows it."""
+    if isinstance(path, str) and isinstance(more, str):
+        return path + more
+    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in (path, more)))
 
 
 def kinds_of(kind: T.DataType) -> set[str]:
@@ -64,6 +78,8 @@ def failing(column: Column, kind: T.DataType, value: Value) -> tuple[Column, Col
     no = F.lit(False), F.lit(None).cast("string")
     if isinstance(value, Top):
         return no
+    if isinstance(kind, T.VariantType):
+        return _variant_failing(column, value)
     if isinstance(value, Bottom):
         return F.lit(True), F.lit(value.code)
     if isinstance(value, Atom):
@@ -79,7 +95,7 @@ def failing(column: Column, kind: T.DataType, value: Value) -> tuple[Column, Col
             for op, bound in value.bounds:
                 x = literal(Atom("number", bound), kind)
                 tests.append(({"<": column < x, "<=": column <= x, ">": column > x, ">=": column >= x}[op], "numeric_bound_mismatch"))
-            tests += [(column % literal(Atom("number", d), kind) == 0, "numeric_multiple_mismatch") for d in value.multiples]
+            tests += [(multiple_of(Typed(column, kind), Typed(literal(Atom("number", d), kind), T.DoubleType() if "." in str(d) or "e" in str(d).lower() else T.LongType())), "numeric_multiple_mismatch") for d in value.multiples]
         if isinstance(kind, T.StringType):
             tests += [(F.length(column) >= n if op == ">=" else F.length(column) <= n, "string_constraint_mismatch") for op, n in value.runes]
             tests += [(F.rlike(column, F.lit(java_pattern(p))) == F.lit(wanted), "regex_mismatch") for wanted, p in value.patterns]
@@ -98,13 +114,51 @@ def failing(column: Column, kind: T.DataType, value: Value) -> tuple[Column, Col
         every = F.lit(True)
         causes = []
         for v, _ in value.alternatives:
-            bad, cause = failing(column, kind, v) if not isinstance(v, (Struct, ListValue)) else (_any(findings(column, kind, v, "")), _cause("conflict"))
+            if isinstance(v, (Struct, ListValue)):
+                bad, cause = (F.lit(True), _cause("conflict")) if kinds_of(kind) else (_any(findings(column, kind, v, "")), _cause("conflict"))
+            else:
+                bad, cause = failing(column, kind, v)
             every = every & bad
             causes.append(cause)
         return every, causes[-1]
     return F.lit(True), _cause("kind_conflict")
 
 
+#: The types by which a VARIANT's values of a kind are read, by the first letters of their names.
+_VARIANT = {"int": {"BIGINT": T.LongType()}, "float": {"DECIMAL": T.DecimalType(38, 18), "DOUBLE": T.DoubleType(), "FLOAT": T.DoubleType()}, "string": {"STRING": T.StringType()}, "bool": {"BOOLEAN": T.BooleanType()}}
+
+
+def _scalar_kinds(value: Value) -> set[str]:
+    """The kinds of scalars that may satisfy a constraint."""
+    if isinstance(value, Choice):
+        return set().union(*(_scalar_kinds(v) for v, _ in value.alternatives))
+    if isinstance(value, Atom):
+        return {"int", "float"} if value.kind == "number" else {value.kind}
+    return set(value.kinds) if isinstance(value, Check) else set(_VARIANT) if isinstance(value, Top) else set()
+
+
+def admits_null(value: Value) -> bool:
+    """Whether null satisfies a constraint."""
+    if isinstance(value, Choice):
+        return any(admits_null(v) for v, _ in value.alternatives)
+    return isinstance(value, Top) or isinstance(value, Check) and "null" in value.kinds or isinstance(value, Atom) and value.kind == "null"
+
+
+def _variant_failing(column: Column, value: Value) -> tuple[Column, Column]:
+    """Whether a VARIANT fails a constraint on scalars, by the kind of its value, and the first cause."""
+    named = F.schema_of_variant(column)
+    inner = [v for v, _ in value.alternatives if isinstance(v, (Struct, ListValue, Top))] if isinstance(value, Choice) else []
+    other = F.lit(True)
+    for v in inner:
+        other = other & _any(findings(column, T.VariantType(), v, ""))
+    wrong, why = F.when(named == "VOID", F.lit(not admits_null(value))), F.when(named == "VOID", _cause("kind_conflict"))
+    for kind in sorted(_scalar_kinds(value) & set(_VARIANT)):
+        for name, read in _VARIANT[kind].items():
+            bad, cause = failing(F.try_variant_get(column, "$", read.simpleString()), read, value)
+            wrong, why = wrong.when(F.startswith(named, F.lit(name)), bad), why.when(F.startswith(named, F.lit(name)), cause)
+    return wrong.otherwise(other), why.otherwise(_cause("conflict" if isinstance(value, Choice) else "kind_conflict"))
+
+
 def passing(column: Column, kind: T.DataType, value: Value) -> Column | None:
     """Plain comparisons that are true for just the non-null values that satisfy a constraint, if it comes to that."""
     if isinstance(value, Check) and kinds_of(kind) & value.kinds and is_number(kind) and not value.multiples:
@@ -127,7 +181,26 @@ def _any(found: Iterator[Finding]) -> Column:
     return bad
 
 
-def findings(column: Column, kind: T.DataType, value: Value, path: str, nullable_as_null: bool = False) -> Iterator[Finding]:
+def _array(found: list[Finding]) -> Column:
+    """Violations as an array."""
+    none = F.array().cast(VIOLATION)
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    one = lambda x: F.array(F.struct(text(x.path).alias("path"), F.lit(x.code).alias("code"), x.cause.alias("cause"), text(x.message).alias("message")))
+    return F.concat(none, *[F.when(F.coalesce(x.bad, F.lit(False)), one(x)).otherwise(none) if x.each is None else F.coalesce(x.each, none) for x in found])
+
+
+def _where(condition: Column, x: Finding) -> Finding:
+    """A violation under a further condition."""
+    return replace(x, bad=condition & x.bad, each=None if x.each is None else F.when(condition, x.each))
+
+
+def _each(path: Path, parent: Column, items: Column, of: Callable[[Column, Column], list[Finding]]) -> Finding:
+    """The violations of items of an array, given what each item and its index may violate."""
+    found = F.flatten(F.transform(items, lambda x, i: _array(of(x, i)).cast(VIOLATION)))
+    return Finding(path, parent.isNotNull() & F.exists(items, lambda x: _any(iter(of(x, F.lit(0))))), None, "", each=found)
+
+
+def findings(column: Column, kind: T.DataType, value: Value, path: Path, nullable_as_null: bool = False) -> Iterator[Finding]:
     """What a column that is present may violate."""
     if isinstance(value, Struct):
         yield from _struct_findings(column, kind, value, path, nullable_as_null)
@@ -145,7 +218,12 @@ def _matches(label: str, pattern: Value) -> bool:
     return not isinstance(meet_values(pattern, string(label)), Bottom)
 
 
-def _struct_findings(column: Column, kind: T.DataType, value: Struct, path: str, nullable_as_null: bool) -> Iterator[Finding]:
+def _struct_findings(column: Column, kind: T.DataType, value: Struct, path: Path, nullable_as_null: bool) -> Iterator[Finding]:
+    if isinstance(kind, T.VariantType):
+        yield Finding(path, column.isNotNull() & ~F.startswith(F.schema_of_variant(column), F.lit("OBJECT")), _cause("kind_conflict"), "the value is no struct")
+        fields = lambda label: F.try_variant_get(column, f"$['{label}']", "variant")
+        yield from _map_findings(F.try_variant_get(column, "$", "map<string,variant>"), T.MapType(T.StringType(), T.VariantType()), value, path, column, fields)
+        return
     if isinstance(kind, T.MapType):
         yield from _map_findings(column, kind, value, path)
         return
@@ -157,22 +235,27 @@ def _struct_findings(column: Column, kind: T.DataType, value: Struct, path: str,
         if member.definition or member.hidden:
             continue
         if label in names:
-            yield from present(column[label], kind[label].dataType, member.value, f"{path}.{label}", member.optional, nullable_as_null, column.isNotNull())
+            yield from present(column[label], kind[label].dataType, member.value, joined(path, f".{label}"), member.optional, nullable_as_null, column.isNotNull())
         elif not member.optional and not isinstance(default(member.value), (Atom, Struct, ListValue)):
-            yield Finding(f"{path}.{label}", column.isNotNull(), _cause("incomplete"), "field is missing", "eval.incomplete")
+            yield Finding(joined(path, f".{label}"), column.isNotNull(), _cause("incomplete"), "field is missing", "eval.incomplete")
     for label in names:
         if label not in value.fields:
             hits = [v for p, v in value.patterns if _matches(label, p)]
             if value.closed and not hits:
                 yield Finding(path, column[label].isNotNull(), _cause("closed_struct"), f"field not allowed: {label}")
             for v in hits:
-                yield from findings(column[label], kind[label].dataType, v, f"{path}.{label}", nullable_as_null)
+                yield from findings(column[label], kind[label].dataType, v, joined(path, f".{label}"), nullable_as_null)
 
 
-def _map_findings(column: Column, kind: T.MapType, value: Struct, path: str) -> Iterator[Finding]:
+def _map_findings(column: Column, kind: T.MapType, value: Struct, path: Path, parent: Column | None = None, field: Callable[[str], Column] | None = None) -> Iterator[Finding]:
+    """parent, field: a value whose fields can be read without its map, and how."""
     for label, member in value.fields.items():
         if not member.definition and not member.hidden:
-            yield from present(F.try_element_at(column, F.lit(label)), kind.valueType, member.value, f"{path}.{label}", member.optional, False, column.isNotNull())
+            if field is None or "'" in label:
+                yield from present(F.try_element_at(column, F.lit(label)), kind.valueType, member.value, joined(path, f".{label}"), member.optional, False, column.isNotNull())
+            else:  # a list of one, so that the field is read once
+                own = lambda x, i, m=member, at=joined(path, f".{label}"): list(present(x, kind.valueType, m.value, at, m.optional, False))
+                yield _where(parent.isNotNull(), _each(path, parent, F.array(field(label)), own))
     known = F.array(*[F.lit(x) for x in value.fields]).cast("array<string>")
 
     def allowed(key: Column) -> Column:
@@ -182,37 +265,52 @@ def _map_findings(column: Column, kind: T.MapType, value: Struct, path: str) ->
         return ok
 
     if value.closed:
-        extra = F.exists(F.map_keys(column), lambda k: ~allowed(k))
-        yield Finding(path, column.isNotNull() & extra, _cause("closed_struct"), "field not allowed")
+        extra = lambda k, i: [Finding(path, ~allowed(k), _cause("closed_struct"), F.concat(F.lit("field not allowed: "), k))]
+        yield _each(path, column, F.map_keys(column), extra)
 
-    def breaks(pattern: Value, constraint: Value) -> Callable[[Column], Column]:
-        return lambda e: ~failing(e["key"], T.StringType(), pattern)[0] & e["value"].isNotNull() & _any(findings(e["value"], kind.valueType, constraint, ""))
+    def breaking(pattern: Value, constraint: Value) -> Callable[[Column, Column], list[Finding]]:
+        def of(entry: Column, i: Column) -> list[Finding]:
+            applies = ~failing(entry["key"], T.StringType(), pattern)[0]
+            own = findings(entry["value"], kind.valueType, constraint, joined(path, F.concat(F.lit("."), entry["key"])))
+            return [_where(applies & entry["value"].isNotNull(), x) for x in own]
+
+        return of
 
     for pattern, constraint in value.patterns:
-        bad = F.exists(F.map_entries(column), breaks(pattern, constraint))
-        yield Finding(f"{path}[{show(pattern)}]", column.isNotNull() & bad, _cause("conflict"), f"a value does not satisfy {show(constraint)}")
+        yield _each(path, column, F.map_entries(column), breaking(pattern, constraint))
 
 
-def _list_findings(column: Column, kind: T.DataType, value: ListValue, path: str) -> Iterator[Finding]:
+def _list_findings(column: Column, kind: T.DataType, value: ListValue, path: Path) -> Iterator[Finding]:
+    if isinstance(kind, T.VariantType):
+        yield Finding(path, column.isNotNull() & ~F.startswith(F.schema_of_variant(column), F.lit("ARRAY")), _cause("kind_conflict"), "the value is no list")
+        items = F.array(F.try_variant_get(column, "$", "array<variant>"))
+        yield _each(path, column, items, lambda x, i: list(_list_findings(x, T.ArrayType(T.VariantType()), value, path)))
+        return
     if not isinstance(kind, T.ArrayType):
         yield Finding(path, column.isNotNull(), _cause("kind_conflict"), f"{kind.simpleString()} is no list")
         return
-    n = len(value.items)
+    n, own = len(value.items), kind.elementType
     wrong = F.size(column) != n if value.tail is None else F.size(column) < n
     yield Finding(path, column.isNotNull() & wrong, _cause("list_length_conflict"), f"wants {'exactly' if value.tail is None else 'at least'} {n} items")
     for i, item in enumerate(value.items):
-        yield from findings(F.get(column, F.lit(i)), kind.elementType, item, f"{path}[{i}]")
+        yield from _item(F.get(column, F.lit(i)), own, item, joined(path, f"[{i}]"), F.size(column) > i)
     if value.tail is not None and not isinstance(value.tail, Top):
         rest = F.slice(column, n + 1, F.greatest(F.size(column) - n, F.lit(0)))
-        bad = F.exists(rest, lambda x: x.isNotNull() & _any(findings(x, kind.elementType, value.tail, "")))
-        yield Finding(f"{path}[{n}:]", column.isNotNull() & bad, _cause("conflict"), f"an item does not satisfy {show(value.tail)}")
+        yield _each(path, column, rest, lambda x, i: list(_item(x, own, value.tail, joined(path, F.concat(F.lit("["), (i + n).cast("string"), F.lit("]"))))))
 
 
-def present(column: Column, kind: T.DataType, value: Value, path: str, optional: bool, nullable_as_null: bool, parent: Column | None = None) -> Iterator[Finding]:
+def _item(item: Column, kind: T.DataType, value: Value, path: Path, there: Column | None = None) -> Iterator[Finding]:
+    """What an item of a list may violate; NULL is the value null."""
+    yield from findings(item, kind, value, path)
+    if not admits_null(value):
+        null = item.isNull() if there is None else there & item.isNull()
+        yield Finding(path, null, _cause("kind_conflict"), f"conflicting values {show(value)} and null")
+
+
+def present(column: Column, kind: T.DataType, value: Value, path: Path, optional: bool, nullable_as_null: bool, parent: Column | None = None) -> Iterator[Finding]:
     """What a field may violate, with its presence: a field that is not optional and has no default must be there."""
     yield from findings(column, kind, value, path, nullable_as_null)
-    null_ok = isinstance(value, Top) or isinstance(value, Check) and "null" in value.kinds or isinstance(value, Atom) and value.kind == "null" or isinstance(value, Choice) and any(isinstance(v, Atom) and v.kind == "null" or isinstance(v, Check) and "null" in v.kinds for v, _ in value.alternatives)
-    if optional or null_ok or isinstance(value, Bottom) or isinstance(default(value), (Atom, Struct, ListValue)) and not nullable_as_null:
+    if optional or admits_null(value) or isinstance(value, Bottom) or isinstance(default(value), (Atom, Struct, ListValue)) and not nullable_as_null:
         return
     absent = column.isNull() if parent is None else parent & column.isNull()
     if nullable_as_null:
@@ -247,9 +345,7 @@ def row_findings(kind: T.StructType, schema: Schema, nullable_as_null: bool = Fa
 
 def violations(kind: T.StructType, schema: Schema, nullable_as_null: bool = False) -> Column:
     """All violations of a row, as an array."""
-    none = F.array().cast(VIOLATION)
-    parts = [F.when(F.coalesce(x.bad, F.lit(False)), F.array(F.struct(F.lit(x.path).alias("path"), F.lit(x.code).alias("code"), x.cause.alias("cause"), F.lit(x.message).alias("message")))).otherwise(none) for x in row_findings(kind, schema, nullable_as_null)]
-    return F.concat(none, *parts)
+    return _array(row_findings(kind, schema, nullable_as_null))
 
 
 def valid(kind: T.StructType, schema: Schema, nullable_as_null: bool = False) -> Column:

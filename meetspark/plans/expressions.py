@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,7 +92,7 @@ def member(base: Typed, name: str) -> Typed:
 def _build_index(node: S.Index, scope: Columns) -> Typed:
     base, index = build(node.base, scope), build(node.index, scope)
     if isinstance(base.kind, T.ArrayType):
-        return Typed(F.get(base.column, F.when(index.column >= 0, index.column.cast("int"))), base.kind.elementType)
+        return Typed(F.get(base.column, F.when(index.column >= 0, index.column.try_cast("int"))), base.kind.elementType)
     if isinstance(index.literal, str):
         return member(base, index.literal)
     if isinstance(base.kind, T.MapType):
@@ -188,50 +190,133 @@ def _build_list(node: S.ListNode, scope: Columns) -> Typed:
 def _build_comprehension(node: S.Comprehension, scope: Columns) -> Typed:
     """for and if clauses over arrays or maps, as flattened transforms and filters within the row."""
 
-    def go(at: int, inner: Columns) -> Typed:
-        if at == len(node.clauses):
-            x = build(node.body, inner)
-            return Typed(F.array(x.column), T.ArrayType(x.kind))
-        clause = node.clauses[at]
-        if isinstance(clause, S.IfClause):
-            rest = go(at + 1, inner)
-            return Typed(F.when(build(clause.condition, inner).column, rest.column).otherwise(F.array().cast(rest.kind)), rest.kind)
-        source = build(clause.source, inner)
-        kinds: list[T.DataType] = []
-        if isinstance(source.kind, T.MapType):
-            entries, key_kind, kind = F.map_entries(source.column), source.kind.keyType, source.kind.valueType
-            each = lambda e, i: body(e["key"], e["value"])
-        else:
-            entries, key_kind, kind = source.column, LONG, source.kind.elementType
-            each = lambda x, i: body(i.cast("long"), x)
-
-        def body(key: Column, value: Column) -> Column:
-            bound = {clause.value: Typed(value, kind)} | ({clause.key: Typed(key, key_kind)} if clause.key else {})
-            x = go(at + 1, inner.with_bound(bound))
-            kinds.append(x.kind)
-            return x.column
-
-        out = F.flatten(F.transform(entries, each))
-        return Typed(out, kinds[-1])
-
-    return go(0, scope)
+    def item(inner: Columns) -> Typed:
+        x = build(node.body, inner)
+        return Typed(F.array(x.column), T.ArrayType(x.kind))
+
+    return _over_clauses(node.clauses, scope, item)
+
+
+def _over_clauses(clauses: tuple, scope: Columns, last: Callable[[Columns], Typed]) -> Typed:
+    """The arrays that `last` makes for each turn of the clauses, put together."""
+    if not clauses:
+        return last(scope)
+    clause, more = clauses[0], clauses[1:]
+    if isinstance(clause, S.IfClause):
+        rest = _over_clauses(more, scope, last)
+        return Typed(F.when(build(clause.condition, scope).column, rest.column).otherwise(F.array().cast(rest.kind)), rest.kind)
+    source = build(clause.source, scope)
+    kinds: list[T.DataType] = []
+    if isinstance(source.kind, T.MapType):
+        entries, key_kind, kind = F.map_entries(source.column), source.kind.keyType, source.kind.valueType
+        each = lambda e, i: body(e["key"], e["value"])
+    elif isinstance(source.kind, T.ArrayType):
+        entries, key_kind, kind = source.column, LONG, source.kind.elementType
+        each = lambda x, i: body(i.cast("long"), x)
+    elif isinstance(source.kind, T.StructType):  # its fields are known, so each is a turn of its own
+        parts = [_over_clauses(more, scope.with_bound({clause.value: Typed(source.column[f.name], f.dataType)} | ({clause.key: Typed(F.lit(f.name), STRING, f.name)} if clause.key else {})), last) for f in source.kind.fields]
+        return Typed(F.concat(*(x.column for x in parts)), parts[0].kind) if parts else Typed(F.array(), T.ArrayType(T.NullType()))
+    else:
+        raise _refuse(f"{source.kind.simpleString()} can't be gone over", "invalid_comprehension_source")
+
+    def body(key: Column, value: Column) -> Column:
+        bound = {clause.value: Typed(value, kind)} | ({clause.key: Typed(key, key_kind)} if clause.key else {})
+        x = _over_clauses(more, scope.with_bound(bound), last)
+        kinds.append(x.kind)
+        return x.column
+
+    out = F.flatten(F.transform(entries, each))
+    return Typed(out, kinds[-1])
+
+
+def _fixed(node: S.Node) -> bool:
+    """Whether a struct's labels don't depend on the row: no dynamic label and no for clause."""
+    if not isinstance(node, S.StructNode):
+        return False
+    return all(isinstance(d.label, str) if isinstance(d, S.Field) else all(isinstance(c, S.IfClause) for c in d.clauses) and _fixed(d.body) if isinstance(d, S.Comprehension) else True for d in node.decls)
+
+
+def _value_field(decl: S.Field) -> bool:
+    if isinstance(decl.label, S.Pattern):
+        raise _refuse("a pattern makes a constraint, not a value")
+    return not decl.optional  # an optional field has no value
 
 
 def _build_struct(node: S.StructNode, scope: Columns) -> Typed:
-    fields = []
-    for decl in node.decls:
-        if isinstance(decl, S.Let) and decl.name != "_":
-            scope = scope.with_bound({decl.name: build(decl.value, scope)})
-        elif isinstance(decl, S.Field) and isinstance(decl.label, str):
-            x = build(decl.value, scope)
-            scope = scope.with_bound({decl.label: x})
-            fields.append((decl.label, x))
-        elif isinstance(decl, S.Field) and not isinstance(decl.label, S.Pattern):
-            key, x = build(decl.label, scope), build(decl.value, scope)
-            if len(node.decls) > 1:
-                raise _refuse("a dynamic label must be a struct's only field")
-            return Typed(F.create_map(key.column, x.column), T.MapType(STRING, x.kind))
-    return Typed(F.struct(*(x.column.alias(k) for k, x in fields)), T.StructType([T.StructField(k, x.kind) for k, x in fields]))
+    """A struct: of fixed labels a STRUCT, whose fields under an `if` are NULL where it isn't true; else a MAP, whose values are of one type.
+    Fields of the same label are unified; where they differ, a STRUCT's field, or the whole MAP, is NULL."""
+    return _fixed_struct(node, scope) if _fixed(node) else _map_struct(node, scope)
+
+
+def _fixed_struct(node: S.StructNode, scope: Columns) -> Typed:
+    fields: dict[str, Typed] = {}
+
+    def add(label: str, x: Typed) -> None:
+        old = fields.get(label)
+        if old is not None:
+            a, b = (old, x) if old.kind == x.kind or not is_number(x.kind) else (Typed(as_double(old), DOUBLE), Typed(as_double(x), DOUBLE))
+            if a.kind != b.kind:
+                raise _refuse(f"{label} is {a.kind.simpleString()} and {b.kind.simpleString()}", "conflict")
+            x = Typed(F.when(a.column.isNull(), b.column).when(b.column.isNull() | (a.column == b.column), a.column), a.kind)
+        fields[label] = x
+
+    def go(decls: tuple, scope: Columns, condition: Column | None) -> Columns:
+        for decl in decls:
+            if isinstance(decl, S.Let):
+                scope = scope if decl.name == "_" else scope.with_bound({decl.name: build(decl.value, scope)})
+            elif isinstance(decl, S.Field) and _value_field(decl):
+                x = build(decl.value, scope)
+                add(decl.label, x if condition is None else Typed(F.when(condition, x.column), x.kind))
+                scope = scope.with_bound({decl.label: x})
+            elif isinstance(decl, S.Comprehension):
+                inner = condition
+                for clause in decl.clauses:
+                    more = build(clause.condition, scope).column
+                    inner = more if inner is None else inner & more
+                go(decl.body.decls, scope, inner)
+        return scope
+
+    go(node.decls, scope, None)
+    return Typed(F.struct(*(x.column.alias(k) for k, x in fields.items())), T.StructType([T.StructField(k, x.kind) for k, x in fields.items()]))
+
+
+def _map_struct(node: S.StructNode, scope: Columns) -> Typed:
+    kinds: list[T.DataType] = []
+
+    def entries(decls: tuple, scope: Columns, wide: T.DataType) -> Column:
+        entry = T.ArrayType(T.StructType([T.StructField("key", STRING), T.StructField("value", wide)]))
+        parts = [F.array().cast(entry)]
+        for decl in decls:
+            if isinstance(decl, S.Let):
+                scope = scope if decl.name == "_" else scope.with_bound({decl.name: build(decl.value, scope)})
+            elif isinstance(decl, S.Field) and _value_field(decl):
+                key = Typed(F.lit(decl.label), STRING) if isinstance(decl.label, str) else build(decl.label, scope)
+                if key.kind != STRING:
+                    raise _refuse("a label must be a string", "invalid_dynamic_label")
+                x = build(decl.value, scope)
+                kinds.append(x.kind)
+                parts.append(F.array(F.struct(key.column.alias("key"), (x.column.cast(wide) if x.kind != wide and is_number(wide) else x.column).alias("value"))))
+                if isinstance(decl.label, str):
+                    scope = scope.with_bound({decl.label: x})
+            elif isinstance(decl, S.Comprehension):
+                if not isinstance(decl.body, S.StructNode):
+                    raise _refuse("a comprehension in a struct must yield structs")
+                parts.append(_over_clauses(decl.clauses, scope, lambda inner, body=decl.body: Typed(entries(body.decls, inner, wide), entry)).column)
+        return F.concat(*parts)
+
+    entries(node.decls, scope, T.NullType())  # to learn the types
+    if not kinds:
+        wide = T.NullType()
+    elif all(is_number(x) for x in kinds):
+        wide = kinds[0] if len(set(kinds)) == 1 else LONG if all(isinstance(x, T.IntegralType) for x in kinds) else DOUBLE
+    elif len(set(kinds)) == 1:
+        wide = kinds[0]
+    else:
+        raise _refuse(f"values of a struct with dynamic labels must be of one type, not {sorted({x.simpleString() for x in kinds})}")
+    every = F.array_distinct(entries(node.decls, scope, wide))
+    keys = F.transform(every, lambda e: e["key"])
+    fine = (F.size(F.array_distinct(keys)) == F.size(keys)) & ~F.exists(keys, lambda k: k.isNull())
+    return Typed(F.when(fine, F.map_from_entries(every)), T.MapType(STRING, wide))
 
 
 def _build_call(node: S.Call, scope: Columns) -> Typed:

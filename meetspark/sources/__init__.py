@@ -66,7 +66,7 @@ def decode(text: str | bytes, format: str, max_depth: int = MAX_DEPTH) -> Schema
         elif format == "yaml":
             import yaml
 
-            found = yaml.safe_load(text)
+            found = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
         else:
             raise DecodeError(Diagnostic("decode.format", f"unknown format {format!r}"))
     except (ValueError, RecursionError) as e:
@@ -191,15 +191,33 @@ def read(spark: SparkSession, path: str, format: str | None = None, schema=None)
     format = format or FORMATS.get(os.path.splitext(path.rstrip("/*"))[1], "parquet")
     if format in ("yaml", "toml"):
         files = spark.read.format("binaryFile").load(path)
-        return files.select("path", F.parse_json(to_json_text(F.col("content"), format)).alias("value"))
+        return files.select("path", decoded(F.col("content"), format).alias("d")).select("path", "d.value", F.col("d.error").alias("_error"))
     reader = spark.read.format(format)
     if format == "json":
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+def decoded(content: Column, format: str) -> Column:
+    """YAML or TOML documents as a struct of value (VARIANT) and error: what is wrong with those that can't be decoded, whose value is NULL."""
+    kind = pa.struct([("json", pa.string()), ("error", pa.string())])
+
+    @F.arrow_udf("json string, error string")
+    def convert(column: pa.Array) -> pa.Array:
+        out = []
+        for data in column.to_pylist():
+            try:
+                out.append({"json": None if data is None else as_json(decode(data, format).value, None), "error": None})
+            except (DecodeError, EncodeError) as e:
+                out.append({"json": None, "error": str(e)})
+        return pa.array(out, kind)
+
+    both = convert(content)
+    return F.struct(F.try_parse_json(both["json"]).alias("value"), both["error"].alias("error"))
+
+
 def to_json_text(content: Column, format: str) -> Column:
-    """YAML or TOML documents as JSON text, in Arrow batches; NULL for what can't be decoded."""
+    """YAML or TOML documents as JSON text, in Arrow batches; NULL for what can't be decoded, for which decoded() gives the reason."""
 
     @F.arrow_udf("string")
     def convert(column: pa.Array) -> pa.Array:
@@ -304,7 +322,7 @@ def encode(schema: Schema | Value, format: str, concrete: bool = True, definitio
     if format == "yaml":
         import yaml
 
-        return yaml.safe_dump(plain, sort_keys=True, allow_unicode=True)
+        return yaml.dump(plain, Dumper=getattr(yaml, "CSafeDumper", yaml.SafeDumper), sort_keys=True, allow_unicode=True)
     raise EncodeError(Diagnostic("encode.format", f"unknown format {format!r}"))
 
 
