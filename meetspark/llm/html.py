@@ -2,15 +2,17 @@
 
 Markup is stripped first: each block element gives a line, and elements that never hold article text (scripts, forms,
 menus, adverts, comments ...) give a gap of empty lines instead. Text lengths are then summed over sliding windows of
-lines. A region begins at a surge point, where the sum rises over a threshold, and ends at the dive point, where it falls to
-nothing. On a page that marks its article or main element, only lines inside it have lengths, and all of them are kept;
-elsewhere lines made of links have none, and all others of the block that holds the regions are kept, over gaps and however short: of the body's
-own child if that holds all regions and a heading, of the whole body otherwise.
+lines; lines made of links have none. A region begins at a surge point, where the sum rises over a threshold, and ends at the dive point,
+where it falls to nothing. The regions say where the story is: in the article or main elements, if their lines alone make a region (or no region is on the
+page), else in the body's own child that holds all regions and a heading, else in the whole body. As nothing of a story may be dropped, what is kept
+between surge and dive is carried on to the ends of that block, over gaps and however short: all lines of article and main elements that
+are not links alone, and elsewhere all lines but those made of links.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from html import unescape
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from meetspark.llm.common import bound_batches, texts_of
 
-#: Lines in a window; the sum at which a region begins on pages that don't mark their article.
+#: Lines in a window; the sum at which a region begins.
 WINDOW, SURGE = 3, 80
 
 _RAW = "script style noscript template iframe svg canvas object select textarea button title xmp noembed noframes audio video map"
@@ -39,20 +41,30 @@ _MARKS = set(
     "recommendations comment comments commentlist reply replies respond disqus discussion widget widgets pager pagination "
     "copyright legal disclaimer skip skiplink contentinfo complementary paywall teaser teasers".split()
 )
-#: Words before and after a mark that make it a state of the element or a part beside it, as in has-sidebar, comments-open.
-_BEFORE, _AFTER = set("has have with without no not hide show".split()), set("open opened closed enabled disabled allowed on off".split())
+#: Words that may stand beside a mark in a name, as in site-footer or comment-list; beside any other word, as in share-prices, notice-text, has-sidebar
+#: or comments-open, a mark says nothing about the element.
+_NEUTRAL = set(
+    "site page main global top bottom left right upper lower inner outer primary secondary sticky fixed mobile desktop wrapper wrap container box block "
+    "bar area zone slot unit panel module row col column section list item items link links button buttons btn icon icons group content js "
+    "reader readers user users visitor visitors post posts article articles entry entries story stories blog news".split()
+)
 #: Words before "header" that make it the header of the story.
 _OWN = set("entry post article story".split())
 #: A self-closed tag after its name; a slash that ends an unquoted value closes nothing.
 _CLOSED = r"(?:[^>\"'=/]++|/(?!>)|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)?+|\"[^\"]*+\"|'[^']*+')*+/>"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({'|'.join(_RAW.split())})(?=[\s/>])(?!{_CLOSED})(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+#: A tag or comment that is cut off at the end of the page, and a comment or raw element that was begun and goes on to it.
+_CUT = re.compile(r"<[a-zA-Z!?/]")
+_OPEN = re.compile(rf"<!--(?!.*-->)|<({'|'.join(_RAW.split())})(?=[\s/>])(?!{_CLOSED})(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?!.*</\1\s*>)", re.S | re.I)
+#: Elements that may hold an article even where they are dropped.
+_HOLDERS = {"article", "div", "section", "template"}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: See _read().
-Line = tuple[str, int, bool, int, bool]
+Line = tuple[str, int, int, int, bool]
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -71,11 +83,11 @@ def _marked(attributes: str, main: bool = False) -> bool:
         if name.lower() in ("class", "id", "role"):
             for token in next((x for x in values if x), "").split():
                 words = [x.lower() for x in _WORD.findall(token)]
-                for i, word in enumerate(words):
-                    if word not in _MARKS or i and words[i - 1] in _BEFORE or i + 1 < len(words) and words[i + 1] in _AFTER:
-                        continue
-                    if word != "header" or not (main or i and words[i - 1] in _OWN):
-                        return True
+                marks = [i for i, x in enumerate(words) if x in _MARKS]
+                if not marks or any(x not in _MARKS and x not in _NEUTRAL and len(x) > 1 for x in words):
+                    continue
+                if any(words[i] != "header" or not (main or i and words[i - 1] in _OWN) for i in marks):
+                    return True
     return False
 
 
@@ -140,14 +152,16 @@ def _stories(parts: dict[int, _Part], outside: int, titles: int, articles: int)
 
 def _read(html: str, kept: set[int]) -> tuple[list[Line], dict[int, _Part], int, int]:
     """A page's lines, the parts dropped for their class, id or role by place, and the first headings and articles outside them; marks
-    at the places in `kept` don't count. A line: text, characters of it in links, whether it stands inside the article or main element, the number of the body's
-    child that holds it (0: the body itself), and whether it is a heading. Gaps are empty lines."""
+    at the places in `kept` don't count. A line: text, characters of it in links, the number of the outermost article or main element around it (0: none), the
+    number of the body's child that holds it (0: the body itself), and whether it is a heading. Gaps are empty lines. Takes time in proportion to
+    the page: what is open is counted by name, and what follows the last tag's end is not searched for tags."""
     lines: list[Line] = []
     stack: list[tuple[str, int, bool]] = []  # open containers: name, dropped (2: whatever its class, id or role), main
     words: list[str] = []
     parts: dict[int, _Part] = {}
     part: _Part | None = None
-    dropped = hard = main = titles = articles = 0
+    open_names: Counter[str] = Counter()
+    dropped = hard = main = titles = articles = story = holding = 0  # story: number of the outermost article; holding: open dropped elements that may hold one
     deep = child = 0  # open containers inside the body, and the number of the outermost
     link, linked = 0, 0
 
@@ -155,18 +169,20 @@ def _read(html: str, kept: set[int]) -> tuple[list[Line], dict[int, _Part], int,
         nonlocal linked
         text = " ".join(unescape("".join(words)).split()) if words else ""
         if text:
-            lines.append((text, linked, main > 0, child if deep else 0, bool(stack) and stack[-1][0] in _HEADINGS))
+            lines.append((text, linked, story if main else 0, child if deep else 0, bool(stack) and stack[-1][0] in _HEADINGS))
         words.clear()
         linked = 0
 
     def gap() -> None:
         close()
-        lines.extend([("", 0, False, 0, False)] * WINDOW)
+        lines.extend([("", 0, 0, 0, False)] * WINDOW)
 
     def pop(at: int) -> None:
-        nonlocal part, dropped, hard, main, deep
+        nonlocal part, dropped, hard, main, deep, holding
         for name, was_dropped, was_main in stack[at:]:
+            open_names[name] -= 1
             dropped -= was_dropped > 0
+            holding -= was_dropped > 0 and name in _HOLDERS
             hard -= was_dropped > 1
             if was_dropped == 1 and part:
                 part = part.outer
@@ -174,8 +190,8 @@ def _read(html: str, kept: set[int]) -> tuple[list[Line], dict[int, _Part], int,
             deep -= name not in ("html", "body")
         del stack[at:]
 
-    end = 0
-    for found in _TOKEN.finditer(html):
+    end, last, opened = 0, html.rfind(">") + 1, 0
+    for found in _TOKEN.finditer(html, 0, last):
         if not dropped and found.start() > end:
             text = html[end : found.start()]
             words.append(text)
@@ -183,7 +199,7 @@ def _read(html: str, kept: set[int]) -> tuple[list[Line], dict[int, _Part], int,
                 linked += len(text)
         elif part and not hard and not link:
             part.text += len(html[end : found.start()].strip())
-        end = found.end()
+        end, opened = found.end(), found.start()
         if found[3] is None:
             if found[1] and not dropped and found[1].lower() in _BLOCKS:
                 gap()
@@ -194,7 +210,7 @@ def _read(html: str, kept: set[int]) -> tuple[list[Line], dict[int, _Part], int,
         elif name == "a":
             link = not closing
         if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+            at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name) if open_names[name] else -1
             if name in _BLOCKS or at >= 0 and stack[at][1]:
                 (close if not dropped else words.clear)()
                 if at >= 0:
@@ -204,7 +220,7 @@ def _read(html: str, kept: set[int]) -> tuple[list[Line], dict[int, _Part], int,
                         gap()
             continue
         attributes = found[4] or ""
-        if name in ("article", "main") and dropped and not any(x[1] and x[0] in ("article", "div", "section", "template") for x in stack):
+        if name in ("article", "main") and dropped and not holding:
             pop(next(i for i, x in enumerate(stack) if x[1]))  # a menu or the like that was never closed
         marked = 0
         if name not in ("html", "body", "main"):
@@ -230,37 +246,51 @@ def _read(html: str, kept: set[int]) -> tuple[list[Line], dict[int, _Part], int,
         is_main = name in ("article", "main") and not marked
         if name in _BLOCKS - {"p", "li", "dd", "dt", "option", "hr"} or marked:
             stack.append((name, marked, is_main))
+            open_names[name] += 1
             dropped += marked > 0
+            holding += marked > 0 and name in _HOLDERS
+            story += is_main and not main
             hard += marked > 1
             main += is_main
             child += not deep
             deep += name not in ("html", "body")
-    if not dropped and end < len(html):
-        words.append(html[end:])
+    rest = html[end:] if not _OPEN.match(html, opened, last) else ""
+    cut = _CUT.search(rest)
+    rest = rest[: cut.start()] if cut else rest
+    if not dropped:
+        words.append(rest)
     elif part and not hard and not link:
-        part.text += len(html[end:].strip())
+        part.text += len(rest.strip())
     close()
     return lines, parts, titles, articles
 
 
+def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
+    """Of each line whether it lies in a region and has a length: from a surge point, where the lengths of the lines from it on, a window of them, come to
+    `surge`, to the dive point, where they come to nothing."""
+    out, begun = [], False
+    total = sum(lengths[:window])
+    for i, n in enumerate(lengths):  # total: of the window from i
+        begun = begun or n > 0 and total >= surge
+        out.append(begun and n > 0)
+        total += (lengths[i + window] if i + window < len(lengths) else 0) - n
+        begun = begun and total > 0
+    return out
+
+
 def main_text(html: str) -> str:
     """The article of a page: its blocks, joined by an empty line."""
     lines = lines_of(html)
-    inside = any(x[2] for x in lines)
-    lengths = [len(text) if within or not inside and 2 * linked < len(text) else 0 for text, linked, within, _, _ in lines]
-    if not inside:
-        holders: set[int] = set()  # children of the body that hold regions
-        begun = False
-        total = sum(lengths[:WINDOW])
-        for i, n in enumerate(lengths):  # total: of the lines from i
-            begun = begun or n > 0 and total >= SURGE
-            if begun and n:
-                holders.add(lines[i][3])
-            total += (lengths[i + WINDOW] if i + WINDOW < len(lengths) else 0) - n
-            begun = begun and total > 0
-        only = holders.pop() if len(holders) == 1 else 0
-        if only and any(n and x[3] == only and x[4] for x, n in zip(lines, lengths, strict=True)):
-            lengths = [n if x[3] == only else 0 for x, n in zip(lines, lengths, strict=True)]
+    lengths = [0 if text and 2 * linked >= len(text) else len(text) for text, linked, _, _, _ in lines]
+    within = regions(lengths)
+    marked = {x[2] for x in lines if x[2]}
+    if marked and (not any(within) or any(regions([n if x[2] else 0 for x, n in zip(lines, lengths, strict=True)]))):
+        stories = {x[2] for x, n in zip(lines, lengths, strict=True) if n} & marked or marked
+        return "\n\n".join(x[0] for x in lines if x[2] in stories and x[0])
+    holders = {x[3] for x, r in zip(lines, within, strict=True) if r}  # children of the body that hold regions
+    only = holders.pop() if len(holders) == 1 else 0
+    if only and any(n and x[3] == only and x[4] for x, n in zip(lines, lengths, strict=True)):
+        lengths = [n if x[3] == only else 0 for x, n in zip(lines, lengths, strict=True)]
     return "\n\n".join(x[0] for x, n in zip(lines, lengths, strict=True) if n)
 
 

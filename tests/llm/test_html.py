@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,6 +69,94 @@ def test_names_and_classes_drop_what_they_mark_only(page):
     assert html.main_text(page) == NAMED[page]
 
 
+OWN = {
+    f"<article><p>{T}</p><blockquote class='notice-text'>Quote</blockquote><div class='legal-history'>Law</div><ul class='share-prices'><li>Up</li></ul></article>": f"{T}\n\nQuote\n\nLaw\n\nUp",
+    f"<div class='comments-free content'><p>{T}</p></div><div class='cookie-notice'>Ok</div><div class='post-comments'>Hm</div><div id='adBox'>Buy</div>": T,
+    f"<article class='teaser-text'>Short.</article><div><h1>Big</h1><p>{T}</p></div>": f"Short.\n\nBig\n\n{T}",
+    f"<article><p>Short.</p></article><section><h1>Big</h1><p>{T}</p></section>": f"Short.\n\nBig\n\n{T}",
+    f"<main><h1>Big</h1><p>{T}</p></main><article><p><a href=x>Read this too</a></p></article>": f"Big\n\n{T}",
+    f"<article><p>{T}</p><!-- a > b": T,
+    f"<article><p>{T}</p><script>if (a > b) {{": T,
+    "<article><p>a<p>b <i": "a\n\nb",
+}
+
+
+@pytest.mark.parametrize("page", OWN)
+def test_marks_in_names_and_regions_of_short_articles(page):
+    assert html.main_text(page) == OWN[page]
+
+
+LEAVES = st.tuples(st.sampled_from(["p", "p", "p", "h2", "link", "ad", "nav"]), st.integers(1, 130).map(lambda n: ("word " * 30)[: n - 1] + "w"))
+TREES = st.recursive(LEAVES, lambda x: st.tuples(st.sampled_from(["div", "div", "article"]), st.lists(x, max_size=4)), max_leaves=14)
+
+
+def _page(node):
+    kind, inside = node
+    if isinstance(inside, list):
+        return f"<{kind}>{''.join(map(_page, inside))}</{kind}>"
+    return {"link": f"<p><a href=x>{inside}</a></p>", "ad": f"<aside>{inside}</aside>", "nav": f"<nav><p>{inside}</p></nav>"}.get(kind, f"<{kind}>{inside}</{kind}>")
+
+
+def _brute(body):
+    """The method by its definition, from the tree itself: lines, sums over all windows, surge and dive points, and the block that holds the regions."""
+    lines, stories = [], [0]
+
+    def go(node, story, child):
+        kind, inside = node
+        if isinstance(inside, list):
+            if kind == "article" and not story:
+                stories[0] += 1
+                story = stories[0]
+            for x in inside:
+                go(x, story, child)
+        elif kind in ("ad", "nav"):
+            lines.extend([None] * 6)
+        else:
+            lines.append((" ".join(inside.split()), kind == "link", story, child, kind == "h2"))
+
+    for i, node in enumerate(body):
+        go(node, 0, (i + 1) if isinstance(node[1], list) or node[0] == "h2" else 0)
+
+    def region_lines(lengths):
+        found, begun = set(), False
+        for i in range(len(lengths)):
+            window = sum(lengths[i : i + 3])
+            if not begun and lengths[i] and window >= 80:
+                begun = True
+            if begun and lengths[i]:
+                found.add(i)
+            if sum(lengths[i + 1 : i + 4]) == 0:
+                begun = False
+        return found
+
+    lengths = [0 if x is None or x[1] else len(x[0]) for x in lines]
+    found = region_lines(lengths)
+    some = [i for i, x in enumerate(lines) if x and x[2]]
+    if some and (not found or region_lines([n if x and x[2] else 0 for x, n in zip(lines, lengths)])):
+        live = {lines[i][2] for i in some if lengths[i]} or {lines[i][2] for i in some}
+        return "\n\n".join(lines[i][0] for i in some if lines[i][2] in live)
+    holders = {lines[i][3] for i in found}
+    if len(holders) == 1 and (only := holders.pop()) and any(x and n and x[3] == only and x[4] for x, n in zip(lines, lengths)):
+        return "\n\n".join(x[0] for x, n in zip(lines, lengths) if n and x[3] == only)
+    return "\n\n".join(x[0] for x, n in zip(lines, lengths) if n)
+
+
+@given(st.lists(TREES, max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_against_brute_force_over_the_tree(body):
+    assert html.main_text(f"<body>{''.join(map(_page, body))}</body>") == _brute(body)
+
+
+HOSTILE = ["<div>" * 50000 + "</p>" * 50000, "<a" * 50000, "<a " * 50000 + ">", "<div>" * 30000 + "</section>" * 30000, "<nav>" * 20000 + "<article>" * 20000, "<a '> x " * 20000 + "<p \"> " * 20000, "<script>x</scrip" * 20000, "<!-- x " * 50000 + ">"]
+
+
+@pytest.mark.parametrize("page", HOSTILE, ids=range(len(HOSTILE)))
+def test_time_grows_with_the_page_only(page):
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 5  # those in proportion to the square took a minute or more
+
+
 @given(st.text(alphabet="<>/!-\"'=apdivnrtcle &;#x", max_size=200))
 @settings(max_examples=300, deadline=None)
 def test_never_fails(page):
