@@ -3,7 +3,8 @@
 Each vector is cut into subspaces of two dimensions, and each part is coded by one of 16 centroids. Codes and centroids
 minimise a loss in which the part of the residual that is parallel to the vector weighs more than the rest, because that part is
 what changes large inner products. Codebooks are fitted on the driver to a bounded sample of TRAIN_ROWS vectors in hash
-order; every vector is coded. Rows are dealt by hash into blocks. A block of queries meets a block of vectors in one task: tables
+order; every vector is coded. Rows are dealt by hash into blocks, each packed into one row of ids, vectors and codes; a block of vectors is
+shuffled once, to where the blocks of queries come to it. A block of queries meets a block of vectors in one task: tables
 of the queries' products with all centroids, two subspaces to a table, are summed along the codes; the best RERANK
 of each block are scored exactly in double precision and give a cut-off; of the others all that could reach it, by their residuals' lengths along
 and across them, are scored exactly too. The best of all blocks stay. Every vector is scanned and none is passed over that could be
@@ -18,15 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meetspark.llm.common import bound_batches, materialise
+from meetspark.llm.common import bound_batches, materialise, partitions
 
 #: Neighbours asked for; queries are the ids divisible by EVERY.
 K, EVERY = 20, 20
 #: The bound of the training sample; weight threshold of the loss; rounds of fitting and coding.
 TRAIN_ROWS, THRESHOLD, ROUNDS = 8192, 0.2, 4
-#: Vectors and queries of a block, candidates of a block that are scored exactly for its cut-off, queries that are scanned at once.
-BLOCK_ROWS, QUERY_ROWS, RERANK, SCAN = 4096, 1024, 96, 128
+#: Bytes of the vectors and of the queries of a block, as doubles, and the most vectors; candidates of a block that are scored exactly for its
+#: cut-off; queries that are scanned at once.
+BLOCK_BYTES, QUERY_BYTES, BLOCK_ROWS, RERANK, SCAN = 16 << 20, 4 << 20, 16384, 96, 64
 #: Dimensions of a subspace and centroids of its codebook: four bits.
 PART, CODES = 2, 16
 
@@ -152,61 +155,85 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     books = fit(_matrix(sample["vector"]))
     weight = parallel_weight(sizes["size"])
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                codes = pack_codes(encode(_matrix(part.column(1)), books, weight))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in codes], pa.binary())], names=["id", "vector", "codes"])
-
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    asked = max(1, -(-n // (every * QUERY_ROWS)))
-    index = rows.mapInArrow(coded, "id long, vector array<double>, codes binary").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    queries = rows.where(F.col("id") % every == 0).withColumn("asked", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asked)).cast("int"))
-    index = index.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
+    # Components are shuffled as they were given: four bytes each if the table has floats.
+    wide = vectors.schema[vector_col].dataType.elementType
+    stored = "<f4" if isinstance(wide, T.FloatType) else "<f8"
+    blocks = max(1, min(n, partitions(spark)), -(-n // max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * sizes["size"])))))
+    asked = max(1, -(-n // (every * max(1, QUERY_BYTES // (8 * sizes["size"])))))
+
+    def packed(table: pa.Table) -> pa.Table:
+        own = _matrix(table["vector"])
+        codes = np.concatenate([pack_codes(encode(own[i : i + 1024], books, weight)) for i in range(0, len(own), 1024)])
+        return pa.table({"block": table["block"][:1], "ids": pa.array([table["id"].to_numpy().tobytes()], pa.binary()), "vectors": pa.array([own.astype(stored).tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary())})
+
+    def gathered(table: pa.Table) -> pa.Table:
+        return pa.table({"asked": table["asked"][:1], "asked_ids": pa.array([table["id"].to_numpy().tobytes()], pa.binary()), "asks": pa.array([_matrix(table["vector"]).astype(stored).tobytes()], pa.binary())})
+
+    index = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(packed, "block int, ids binary, vectors binary, codes binary")
+    queries = rows.where(F.col("id") % every == 0).withColumn("asked", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asked)).cast("int")).groupBy("asked").applyInArrow(gathered, "asked int, asked_ids binary, asks binary")
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def search(asking: pa.Table, held: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
-        if asking.num_rows and held.num_rows:
-            held = held.sort_by("id")
-            ids, own, asked_ids, asks = held["id"].to_numpy(), _matrix(held["vector"]), asking["id"].to_numpy(), _matrix(asking["vector"])
-            codes = np.frombuffer(b"".join(held["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            first, group = np.unique(own.view([("", own.dtype)] * own.shape[1]).ravel(), return_index=True, return_inverse=True)[1:]
-            order = np.argsort(group, kind="stable")  # rows by distinct vector, ids ascending
-            starts = np.searchsorted(group[order], np.arange(len(first)))
-            counts = np.minimum(np.diff(np.append(starts, len(ids))), k + 1)  # a query may be one of them
-            norms, coded_own = np.linalg.norm(own[first], axis=1), decode(codes[first], books, own.shape[1])
-            for at in range(0, len(asks), SCAN):
-                q = asks[at : at + SCAN]
-                near = scan(q, books, codes[first])
-                some = min(rerank, near.shape[1])
-                best = np.argpartition(-near, some - 1, axis=1)[:, :some]
-                exact = np.einsum("qd,qcd->qc", q, own[first[best]])
-                cut = -np.partition(-exact, k, axis=1)[:, k] if some > k else np.full(len(q), -np.inf)  # the query may be one of them
-                able = reaching(near, cut, q, own[first], coded_own)
-                np.put_along_axis(able, best, False, axis=1)
-                more = np.flatnonzero(able.any(axis=0))
-                products = q @ own[first[more]].T
-                able = able[:, more] & (products >= cut[:, None] - 1e-12 * np.linalg.norm(q, axis=1)[:, None] * norms[more])
-                for i in range(len(q)):
-                    each = np.concatenate([best[i], more[able[i]]])
-                    times = counts[each]
-                    take = order[np.repeat(starts[each] - np.cumsum(times) + times, times) + np.arange(times.sum())]
-                    found, score = ids[take], np.repeat(np.einsum("qd,qcd->qc", q[i : i + 1], own[first[each]][None])[0], times)
-                    other = found != asked_ids[at + i]
-                    found, score = found[other], score[other]
-                    top = np.lexsort((found, -score))[:k]
-                    for x, y in zip(out, (np.full(len(top), asked_ids[at + i]), found[top], score[top]), strict=True):
-                        x.append(y)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, out), strict=True)))
-
-    pairs = queries.groupBy("asked", "block").cogroup(index.groupBy("asked", "block"))
-    found = pairs.applyInArrow(search, "query_id long, vec_id long, score double")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, ids, own, codes, asked_ids, asks = (batch.column(j)[i] for j in range(6))
+                if held is None or block != number.as_py():
+                    held, block = Held(np.frombuffer(ids.as_buffer(), "<i8"), _rows(own, stored, sizes["size"]), np.frombuffer(codes.as_buffer(), np.uint8), books, k), number.as_py()
+                found = held.search(np.frombuffer(asked_ids.as_buffer(), "<i8"), _rows(asks, stored, sizes["size"]), rerank)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+
+    pairs = index.hint("merge").join(queries, "block").select("block", "ids", "vectors", "codes", "asked_ids", "asks")
+    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class Held:
+    """A block of vectors, ready to be searched: rows of distinct vectors, each with its ids in ascending order."""
+
+    def __init__(self, ids: np.ndarray, own: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int):
+        by_id = np.argsort(ids, kind="stable")
+        self.ids, own, codes = ids[by_id], own[by_id], codes.reshape(len(ids), -1)[by_id]
+        first, group = np.unique(own.view([("", own.dtype)] * own.shape[1]).ravel(), return_index=True, return_inverse=True)[1:]
+        self.order = np.argsort(group, kind="stable")  # rows by distinct vector, ids ascending
+        self.starts = np.searchsorted(group[self.order], np.arange(len(first)))
+        self.counts = np.minimum(np.diff(np.append(self.starts, len(ids))), k + 1)  # a query may be one of them
+        self.own, self.codes, self.books, self.k = own[first], codes[first], books, k
+        self.norms, self.coded = np.linalg.norm(self.own, axis=1), decode(self.codes, books, own.shape[1])
+
+    def search(self, asked_ids: np.ndarray, asks: np.ndarray, rerank: int) -> list[np.ndarray]:
+        """Of each query the k nearest rows of the block: query ids, row ids, scores."""
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        for at in range(0, len(asks), SCAN):
+            q = asks[at : at + SCAN]
+            near = scan(q, self.books, self.codes)
+            some = min(rerank, near.shape[1])
+            best = np.argpartition(-near, some - 1, axis=1)[:, :some]
+            exact = np.einsum("qd,qcd->qc", q, self.own[best])
+            cut = -np.partition(-exact, self.k, axis=1)[:, self.k] if some > self.k else np.full(len(q), -np.inf)  # the query may be one of them
+            able = reaching(near, cut, q, self.own, self.coded)
+            np.put_along_axis(able, best, False, axis=1)
+            more = np.flatnonzero(able.any(axis=0))
+            products = q @ self.own[more].T
+            able = able[:, more] & (products >= cut[:, None] - 1e-12 * np.linalg.norm(q, axis=1)[:, None] * self.norms[more])
+            for i in range(len(q)):
+                each = np.concatenate([best[i], more[able[i]]])
+                times = self.counts[each]
+                take = self.order[np.repeat(self.starts[each] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+                found, score = self.ids[take], np.repeat(np.einsum("qd,qcd->qc", q[i : i + 1], self.own[each][None])[0], times)
+                other = found != asked_ids[at + i]
+                found, score = found[other], score[other]
+                top = np.lexsort((found, -score))[: self.k]
+                for x, y in zip(out, (np.full(len(top), asked_ids[at + i]), found[top], score[top]), strict=True):
+                    x.append(y)
+        return [np.concatenate(x) for x in out]
+
+
+def _rows(data: pa.Scalar, stored: str, size: int) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), stored).reshape(-1, size).astype(np.float64)
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
