@@ -20,10 +20,12 @@ def components(links: DataFrame) -> DataFrame:
         if known.join(known.select(F.col("b").alias("a")), "a", "left_semi").limit(1).select(F.lit(1).alias("x")).unionAll(single.select(F.lit(1).alias("x"))).isEmpty():
             break
         both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        # Written before it is joined, so that Spark can split a node with many neighbours.
+        least = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where(F.col("a") != F.col("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialise(large, "large")
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         known = materialise(small.where(F.col("a") != F.col("b")).distinct(), "stars")
     return known.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(known.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -152,9 +152,15 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (shared / union).alias("likeness"), (100 * shared >= percent * union).alias("linked"))
 
 
-def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets_of: Sets | None = None, percent: int = PERCENT, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def length_class(percent: int) -> Column:
+    """The length class of a set of n: linked sets lie in the same class or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+
+
+def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets_of: Sets | None = None, percent: int = PERCENT, pivots: int = PIVOTS, by_length: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents (id, n, node), components (node, root) of nodes with links, and the links found (a, b, likeness).
 
+    by_length: regions are partitioned by the sets' lengths too; a set goes to its class and the next one, where those of the next class meet it.
     The components are exact; the links are only a subset that spans them. Nodes that are already in one component are not compared, so
     further pairs at least percent/100 alike are missing, and a document's number of links can't be had from them.
     """
@@ -164,11 +170,15 @@ def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     docs = every.where("kind = 0").select("id", "n", "node")
     nodes = every.where("kind = 1").dropDuplicates(["node"])
     placed = nodes.select("node", "n", F.explode("prefix").alias("region"))
-    regions = placed.groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("first")).where("k > 1")
+    if by_length:
+        own = length_class(percent)
+        placed = placed.withColumn("class", F.explode(F.array(own, own + 1))).select("node", "n", F.xxhash64("region", "class").alias("region"))
+    # What is found out about regions is written before it is joined with their members, so that Spark can split a region with many of them.
+    regions = materialise(placed.groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("first")).where("k > 1"), "regions")
     members = materialise(placed.join(regions.drop("k"), "region"), "regions")
     # Regions of the same nodes are one: of each count, smallest node and sum of hashes of the nodes one stays.
     same = members.groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.min("node").alias("m"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("t"))
-    members = materialise(members.join(same.groupBy("k", "s", "t", "m").agg(F.min("region").alias("region")).select("region"), "region", "left_semi"), "regions")
+    members = materialise(members.join(materialise(same.groupBy("k", "s", "t", "m").agg(F.min("region").alias("region")).select("region"), "same"), "region", "left_semi"), "regions")
     held = materialise(every.where("kind = 1").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "shingles"), "sets")
 
     star = members.where(F.col("node") != F.col("first")).groupBy(F.col("node").alias("b")).agg(F.min(F.struct("first")).getField("first").alias("a"))
@@ -178,10 +188,10 @@ def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     links = tried.where("linked").select("a", "b", "likeness")
     near = tried.select(F.col("a").alias("first"), F.col("b").alias("node"), (1 - F.col("likeness")).alias("far"))
     roots = materialise(components(links), "roots")
-    now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    now = materialise(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     parts = now.groupBy("region", "root").agg(F.count(F.lit(1)).alias("k"))
     parts = parts.groupBy("region").agg(F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    parts = parts.select("region", F.col("most.root").alias("major"), (F.col("k") - F.col("most.k")).alias("minors"))
+    parts = materialise(parts.select("region", F.col("most.root").alias("major"), (F.col("k") - F.col("most.k")).alias("minors")), "parts")
     # How far each node is from its region's first pivot, where that is known.
     now = now.join(parts, "region").join(near, ["first", "node"], "left").withColumn("far", F.when(F.col("node") == F.col("first"), 0.0).otherwise(F.col("far")))
     now = materialise(now.withColumn("minor", F.col("root") != F.col("major")).drop("major"), "open")
@@ -211,7 +221,7 @@ def block_join(members: DataFrame, held: DataFrame, percent: int, rows: int = BL
     reach = (100 - percent) / 100 + 1e-9
     ring = F.coalesce(F.floor(F.col("far") / reach).cast("int"), F.lit(-1))
     members = members.withColumn("ring", ring)
-    counts = members.groupBy("first", "minor", "ring").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("blocks"))
+    counts = materialise(members.groupBy("first", "minor", "ring").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("blocks")), "blocks")
     placed = members.join(counts, ["first", "minor", "ring"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.join(held.select("node", "shingles"), "node").select("first", "minor", "ring", "block", "node", "n", "root", "shingles")
     block = F.struct("minor", "ring", "block")
@@ -269,7 +279,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.
     return out.astype(np.int64)
 
 
-def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets_of: Sets | None = None, percent: int = PERCENT) -> DataFrame:
+def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets_of: Sets | None = None, percent: int = PERCENT, by_length: bool = False) -> DataFrame:
     """A row per document: id, n_shingles, component_id (the smallest id that it reaches by links, its own included).
 
     sets_of makes the sets, of 5-word shingles unless given. Documents link when their sets are at least percent/100 alike; equal sets of at least one shingle are linked.
@@ -277,7 +287,7 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest id unless the component has no other. Rows of equal id and text are linked by their text. An empty table gives no
     rows. Further columns are not read. Texts of any length are used whole.
     """
-    docs, roots, _ = join_components(documents, id_col, text_col, sets_of, percent)
+    docs, roots, _ = join_components(documents, id_col, text_col, sets_of, percent, by_length=by_length)
     least = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = least.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = least.join(lowest, "root").select("node", "component_id")
