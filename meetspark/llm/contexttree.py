@@ -240,6 +240,14 @@ class Model:
     def __init__(self, table: DataFrame, top: Top, tokens: int, types: int, depth: int, ranges: int):
         self.table, self.top, self.tokens, self.types, self.depth, self.ranges = table, top, tokens, types, depth, ranges
 
+    def groups(self) -> list[int]:
+        """Into how many groups of chunks the questions to each range are dealt: one, and more for ranges with several times the average of byte runs, so
+        that a common pair of bytes gathers no share of the corpus in a task. A range is sent to each of its groups."""
+        sizes = np.zeros(self.ranges)
+        for r in self.table.select("range", F.octet_length("keys").alias("size")).collect():  # a row per range
+            sizes[r["range"]] = r["size"]
+        return np.maximum(1, np.round(sizes / max(1.0, sizes.mean()))).astype(int).tolist()
+
 
 def train(texts: DataFrame, text_col: str = "text", depth: int = DEPTH) -> Model:
     """Learn from all texts; null is the empty text."""
@@ -359,8 +367,11 @@ def score_texts(documents: DataFrame, model: Model, id_col: str = "doc_id", text
         values = {k: np.concatenate(x) for k, x in out.items()}
         return pa.table({"id": table["id"], "held_out": table["held_out"]} | {k: pa.array(x.astype(np.int64 if k[0] == "n" else np.float64)) for k, x in values.items()})
 
-    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk int, range int, runs binary, words binary")
-    answers = asked.groupBy("range").cogroup(model.table.groupBy("range")).applyInArrow(answer, "chunk int, range int, chances binary, times binary")
+    groups = model.groups()
+    of_range = F.get(F.array(*map(F.lit, groups)), F.col("range"))
+    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk int, range int, runs binary, words binary").withColumn("group", F.pmod(F.xxhash64("chunk"), of_range).cast("int"))
+    known = model.table.withColumn("group", F.explode(F.sequence(F.lit(0), of_range - 1)))
+    answers = asked.groupBy("range", "group").cogroup(known.groupBy("range", "group")).applyInArrow(answer, "chunk int, range int, chances binary, times binary")
     scored = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return scored.withColumn("bits_per_byte", -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).withColumnRenamed("id", id_col)
 
