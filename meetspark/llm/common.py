@@ -56,9 +56,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def accuracy(parts: int) -> int:
+    """Of approximate percentiles for so many ranges: a hundredth of a range, as far as its summary, of some ten bytes each, stays small."""
+    return max(10_000, min(100 * parts, 1_000_000))
+
+
 def key_bounds(rows: DataFrame, parts: int, key: str = "key") -> tuple[np.ndarray, int | None]:
     """Ascending bounds that cut rows into `parts` ranges of about as many rows by a 64-bit key, and the least key. Reads the key alone."""
-    found = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [1.0], 100 * parts).alias("bounds"), F.min(key).alias("least")).first()
+    found = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [1.0], accuracy(parts)).alias("bounds"), F.min(key).alias("least")).first()
     return np.unique(np.array(found.bounds or [], dtype=np.int64)), found.least
 
 

@@ -3,7 +3,8 @@
 Common words of four languages are the anchors; a signature is an anchor and the CHAIN content words that follow it, whatever
 common words stand between. Content words with no common word shortly before them count by themselves, so that tables and
 lists have signatures too. A fingerprint lists the distinct signatures as 32-bit hashes. Fingerprints are compared by Jaccard similarity; likeness() can
-give up early on a pair that can't reach a wanted one. Near duplicates are joined by operator 8, without partitions by length.
+give up early on a pair that can't reach a wanted one. For near duplicates, sets are partitioned by their length, into classes of which only neighbouring
+ones can hold alike sets, and by the rare signatures of their prefixes; operator 8's join prunes and compares within those.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ ANCHORS = (
 ).split()
 
 _ANCHORS = np.sort(next(word_hashes([" ".join(sorted(set(ANCHORS))).encode()], MARKS)))
-#: Buckets of neighbouring documents for each shuffle partition, and the most of them.
-PER_PARTITION, BUCKETS = 4, 4096
+#: Buckets of neighbouring documents for each shuffle partition.
+PER_PARTITION = 4
 
 
 def signatures(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -88,8 +89,10 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """Documents whose signatures are at least percent/100 alike, as classes: id, n_shingles (signatures), component_id; see jaccard.classes()."""
-    return jaccard.classes(documents, id_col, text_col, signatures, percent)
+    """Documents whose signatures are at least percent/100 alike, as classes: id, n_shingles (signatures), component_id; see jaccard.classes().
+
+    Sets are partitioned by length classes that grow by 100/percent: alike sets lie in the same class or in neighbouring ones."""
+    return jaccard.classes(documents, id_col, text_col, signatures, percent, by_length=True)
 
 
 def with_next(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -99,7 +102,7 @@ def with_next(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))
     rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), key.alias("key"))
     n = partitions(spark)
-    parts = min(BUCKETS, PER_PARTITION * n)
+    parts = PER_PARTITION * n
     bounds, least = key_bounds(rows, parts)
     last = len(bounds)
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from meetspark.llm import perfect_hash, tokens
 from meetspark.llm.chunks import even_ids
-from meetspark.llm.common import bound_batches, partitions, scratch_path
+from meetspark.llm.common import accuracy, bound_batches, partitions, scratch_path
 
 #: Bytes of ids and documents of a block; blocks that fetch() takes out one by one, beyond which it reads every range.
 BLOCK_BYTES, BLOCK_ROWS, FEW = 4 << 20, 1 << 16, 1000
@@ -59,7 +59,7 @@ def ranged(rows: DataFrame, parts: int) -> DataFrame:
     A key that holds several ranges' rows is dealt over them by the hash `tie` of the row; so no id gathers in a task. The order is that of (key, tie)."""
     low = F.lit(-(2**63))
     rows = rows.withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
-    found = rows.agg(F.percentile_approx(F.coalesce("key", low), [i / parts for i in range(1, parts)] or [1.0], 100 * parts).alias("bounds")).first()
+    found = rows.agg(F.percentile_approx(F.coalesce("key", low), [i / parts for i in range(1, parts)] or [1.0], accuracy(parts)).alias("bounds")).first()
     bounds = np.sort(np.array((found.bounds or [])[: parts - 1], dtype=np.int64))
 
     @F.arrow_udf("int")
