@@ -225,12 +225,13 @@ def _division(name: str) -> Callable[..., Typed]:
 
     def divided(x: Typed, y: Typed) -> Typed:
         wide = T.DecimalType(38, 0)
-        a, b = (F.when(v.column == v.column.try_cast(wide), v.column.try_cast(wide)) for v in (x, y))
+        whole = lambda v: (v.column % 1 if isinstance(v.kind, T.DecimalType) else v.column - v.column.try_cast(wide).cast("double")) == 0
+        a, b = (v.column.try_cast(wide) if isinstance(v.kind, T.IntegralType) else F.when(whole(v), v.column.try_cast(wide)) for v in (x, y))
         b = F.when(b != 0, b)
         rest = a % b
         if name in ("div", "mod"):
             rest = F.when(rest < 0, rest + F.abs(b)).otherwise(rest)
-        out = (rest if name in ("rem", "mod") else F.call_function("div", (a - rest).cast(wide), b)).cast(wide)
+        out = (rest if name in ("rem", "mod") else F.try_divide((a - rest).try_cast(wide), b)).try_cast(wide)
         kind = wide if any(isinstance(v.kind, T.DecimalType) for v in (x, y)) else LONG
         return Typed(out if kind is wide else out.try_cast("long"), kind)
 

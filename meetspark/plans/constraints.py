@@ -220,9 +220,10 @@ def _matches(label: str, pattern: Value) -> bool:
 
 def _struct_findings(column: Column, kind: T.DataType, value: Struct, path: Path, nullable_as_null: bool) -> Iterator[Finding]:
     if isinstance(kind, T.VariantType):
-        yield Finding(path, column.isNotNull() & ~F.startswith(F.schema_of_variant(column), F.lit("OBJECT")), _cause("kind_conflict"), "the value is no struct")
         fields = lambda label: F.try_variant_get(column, f"$['{label}']", "variant")
-        yield from _map_findings(F.try_variant_get(column, "$", "map<string,variant>"), T.MapType(T.StringType(), T.VariantType()), value, path, column, fields)
+        entries = F.try_variant_get(column, "$", "map<string,variant>")
+        yield Finding(path, column.isNotNull() & entries.isNull(), _cause("kind_conflict"), "the value is no struct")
+        yield from _map_findings(entries, T.MapType(T.StringType(), T.VariantType()), value, path, entries, fields)
         return
     if isinstance(kind, T.MapType):
         yield from _map_findings(column, kind, value, path)
@@ -282,8 +283,8 @@ def _map_findings(column: Column, kind: T.MapType, value: Struct, path: Path, pa
 
 def _list_findings(column: Column, kind: T.DataType, value: ListValue, path: Path) -> Iterator[Finding]:
     if isinstance(kind, T.VariantType):
-        yield Finding(path, column.isNotNull() & ~F.startswith(F.schema_of_variant(column), F.lit("ARRAY")), _cause("kind_conflict"), "the value is no list")
         items = F.array(F.try_variant_get(column, "$", "array<variant>"))
+        yield Finding(path, column.isNotNull() & F.get(items, F.lit(0)).isNull(), _cause("kind_conflict"), "the value is no list")
         yield _each(path, column, items, lambda x, i: list(_list_findings(x, T.ArrayType(T.VariantType()), value, path)))
         return
     if not isinstance(kind, T.ArrayType):

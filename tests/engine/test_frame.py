@@ -205,3 +205,79 @@ def test_bessel_against_quadrature(name):
         else:  # Wronskian: J(n+1) Y(n) - J(n) Y(n+1) = 2 / (pi x)
             got = special.bessel_j(n + 1, x) * special.bessel_y(n, x) - special.bessel_j(n, x) * special.bessel_y(n + 1, x)
             assert abs(got - 2 / (math.pi * x)) < 1e-9
+
+
+def test_items_and_entries_have_their_own_violations(spark):
+    df = spark.createDataFrame([(["a", None, "b", None],)], "l array<string>").withColumn("n", F.array(F.create_map(F.lit("x"), F.lit(5)), F.create_map(F.lit("y"), F.lit(1))))
+    assert causes(df, 'l: ["a", string, ..."b"]')[0] == [("$.l[1]", "eval.kind_conflict"), ("$.l[3]", "eval.kind_conflict")]
+    assert causes(df, 'l: [...(string | null)]')[0] == []
+    assert causes(df, "#M: {x?: <3}\nn: [...#M]")[0] == [("$.n[0].x", "eval.numeric_bound_mismatch"), ("$.n[1]", "eval.closed_struct")]
+    assert frame.valid_rows(df, 'l: ["a", _, ..._]').count() == 1 and frame.valid_rows(df, 'l: ["a", string, ..._]').count() == 0
+    assert [(r.path, r.cause) for r in frame.violations_of(df, "l: [...int]").collect()][0] == ("$.l[0]", "eval.kind_conflict")
+
+
+VARIANTS = {
+    '{"k": 5}': [],
+    '{"k": 5.5}': [("$.p.k", "eval.kind_conflict")],
+    '{"k": 50}': [("$.p.k", "eval.numeric_bound_mismatch")],
+    '{"k": "5"}': [("$.p.k", "eval.kind_conflict")],
+    '{"k": null}': [("$.p.k", "eval.kind_conflict")],
+    "{}": [("$.p.k", "eval.incomplete")],
+    '{"k": 1, "z": 0}': [("$.p", "eval.closed_struct")],
+    '{"k": 1, "l": [1, "x", 2]}': [("$.p.l[1]", "eval.kind_conflict")],
+    '{"k": 1, "l": {"a": 1}}': [("$.p.l", "eval.kind_conflict")],
+    '{"k": 1, "s": {"n": null}}': [],
+    '{"k": 1, "s": {"n": true}}': [("$.p.s.n", "eval.conflict")],
+    "[1]": [("$.p", "eval.kind_conflict")],
+}
+
+
+def test_variants_are_checked_by_each_value(spark):
+    df = spark.createDataFrame([(x,) for x in VARIANTS], "t string").select("t", F.parse_json("t").alias("p"))
+    found = frame.vet(df, '#P: {k: int & <10, l?: [...int], s?: {n: null | "x"}}\np: #P').collect()
+    got = {r.t: sorted((v.path, v.cause) for v in r._violations) for r in found}
+    assert got == VARIANTS
+
+
+def test_unify_and_merge_within(spark):
+    kind = "k long, s struct<x:long,y:string>, m map<string,long>, l array<long>"
+    a = spark.createDataFrame([(1, (1, None), {"a": 1, "b": 2}, [1, 2]), (2, None, None, [1]), (3, (7, "q"), {}, None)], kind)
+    b = spark.createDataFrame([(1, (1, "z"), {"b": 3, "c": 4}, [1, None]), (2, (5, "w"), {"d": 1}, [1, 2]), (4, None, None, None)], kind)
+    got = {r.k: r for r in frame.unify(a, b, ["k"]).collect()}
+    assert (tuple(got[1].s), got[1].m, got[1].l, got[1]._conflicts) == ((1, "z"), {"a": 1, "b": 2, "c": 4}, [1, 2], ["m.b"])
+    assert (tuple(got[2].s), got[2].m, got[2].l, got[2]._conflicts) == ((5, "w"), {"d": 1}, [1], ["l"])
+    assert (tuple(got[3].s), got[3].m, got[4].s, got[4].m) == ((7, "q"), {}, None, None)
+    merged = {r.k: r for r in frame.merge(a.union(b), ["k"]).collect()}
+    assert (tuple(merged[1].s), merged[1].m, sorted(merged[1]._conflicts)) == ((1, "z"), {"a": 1, "b": None, "c": 4}, ["l", "m.b"])
+    assert (tuple(merged[2].s), merged[2].m, merged[3].m, merged[4].s, merged[4].m) == ((5, "w"), {"d": 1}, {}, None, None)
+    nulls = frame.merge(spark.createDataFrame([(None, {"a": 1}), (None, {"b": 2})], "k long, m map<string,long>"), ["k"]).collect()
+    assert [(r.k, r.m) for r in nulls] == [(None, {"a": 1, "b": 2})]
+
+
+def test_structs_with_comprehensions(spark):
+    df = spark.createDataFrame([({"p": 1, "q": 20}, 7, ["u", "v", "u"])], "m map<string,long>, x long, l array<string>")
+    texts = {"a": '{z: 1, for k, v in m {"\\(k)": v}}', "b": "{a: 1, if x > 5 {b: x}, if x < 5 {c: x}}", "c": '{for i, s in l {"\\(s)": i}}', "d": '{for s in l {"\\(s)": 4}}', "e": '{let y = x, if x > 5 {for k, v in m if v > 5 {"\\(k)!": v * y}}}', "f": "{a: 1, a: 1.0}", "g": "{a: 1, if x > 5 {a: 2}}"}
+    row = frame.select_expr(df, **texts).first()
+    assert row.a == {"z": 1, "p": 1, "q": 20} and row.b.asDict() == {"a": 1, "b": 7, "c": None}
+    assert row.c is None and row.d == {"u": 4, "v": 4} and row.e == {"q!": 140.0} and row.f.a == 1.0 and row.g.a is None
+    for bad in ("{[string]: int}", '{for k, v in m {"\\(k)": v}, t: "x"}', "{for k, v in x {a: 1}}", '{(x): 1}'):
+        with pytest.raises(MeetError):
+            frame.select_expr(df, v=bad)
+
+
+def test_exact_numbers(spark):
+    df = spark.createDataFrame([(2**53 + 1, -(2**63), 1e20, 0.3, -0.0, 2.5)], "a long, b long, c double, d double, e double, f double").withColumn("g", F.lit("12345678901234567890123.5").cast("decimal(30,1)"))
+    texts = {"a": "div(a, 1)", "b": "div(b, -1)", "c": "math.Ceil(c)", "d": "math.MultipleOf(d, 0.1)", "e": "math.Signbit(e)", "f": "math.Round(f)", "g": "math.Floor(g)", "h": "list.Take([1, 2], 3000000000)", "i": "list.Repeat([1], 9000000000)", "j": "[1, 2][4000000000]", "k": "math.Jacobi(a, 9007199254740995)", "l": "math.Round(0.49999999999999994)", "m": "quo(g, 2)", "n": "mod(b, 10)"}
+    row = frame.select_expr(df, **texts).first()
+    assert (row.a, row.b, row.c, row.d, row.e, row.f, int(row.g)) == (2**53 + 1, None, 1e20, True, True, 3.0, 12345678901234567890123)
+    assert (row.h, row.i, row.j, row.l, row.m, row.n) == ([1, 2], None, None, 0.0, None, 2)
+    from meetspark.functions import special
+
+    assert row.k == special.jacobi(2**53 + 1, 9007199254740995)
+
+
+def test_undecodable_files_say_why(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("x: 1\n")
+    (tmp_path / "b.yaml").write_text("x: [1\n")
+    rows = {r.path.rsplit("/", 1)[1]: r for r in sources.read(spark, f"yaml:{tmp_path}/*.yaml").collect()}
+    assert rows["a.yaml"]._error is None and rows["b.yaml"].value is None and "decode" in rows["b.yaml"]._error
