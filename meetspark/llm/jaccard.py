@@ -279,8 +279,19 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.
     return out.astype(np.int64)
 
 
-def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets_of: Sets | None = None, percent: int = PERCENT, by_length: bool = False) -> DataFrame:
-    """A row per document: id, n_shingles, component_id (the smallest id that it reaches by links, its own included).
+def node_of(text: Column, sets_of: Sets | None = None) -> Column:
+    """The digest of a text's set, by which classes() tells rows of equal id apart; NULL for an empty set."""
+    sets = sets_of or word_sets()
+
+    @F.arrow_udf("long")
+    def digest(column: pa.Array) -> pa.Array:
+        return pa.array([_node(x) for x in sets(bytes_of(column))], pa.int64())
+
+    return digest(text)
+
+
+def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets_of: Sets | None = None, percent: int = PERCENT, by_length: bool = False, with_node: bool = False) -> DataFrame:
+    """A row per document: id, n_shingles, component_id (the smallest id that it reaches by links, its own included); with_node: its set's digest, node, too.
 
     sets_of makes the sets, of 5-word shingles unless given. Documents link when their sets are at least percent/100 alike; equal sets of at least one shingle are linked.
     Nulls: a null text has no shingles and is linked with nothing, as is an empty one; a null id takes part, and is no component's
@@ -292,4 +303,4 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lowest = least.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = least.join(lowest, "root").select("node", "component_id")
     out = docs.join(of_node, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *(["node"] if with_node else []))

@@ -32,11 +32,9 @@ def starts_of(n: int) -> range:
     return range(0, max(1, n - CHUNK + STEP), STEP) if n > CHUNK else range(1)
 
 
-def chunks_of(data: bytes, most: int | None = None) -> np.ndarray:
-    """A text's chunks, zero-padded: all of them, or `most` evenly spread ones."""
+def chunks_of(data: bytes) -> np.ndarray:
+    """A text's chunks, zero-padded."""
     starts = np.array(starts_of(len(data)))
-    if most and len(starts) > most:
-        starts = starts[np.linspace(0, len(starts) - 1, most).round().astype(int)]
     padded = np.zeros(int(starts[-1]) + CHUNK + WIDTH - 1, dtype=np.uint8)
     padded[: min(len(data), len(padded))] = np.frombuffer(data, np.uint8)[: len(padded)]
     return padded[starts[:, None] + np.arange(CHUNK + WIDTH - 1)]

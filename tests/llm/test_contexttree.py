@@ -68,7 +68,7 @@ def is_held_out(key):
     return zlib.crc32(("" if key is None else str(key)).encode()) % 10 == 0
 
 
-@pytest.mark.parametrize("depth", [2, 3])
+@pytest.mark.parametrize("depth", [2, 3, contexttree.DEPTH])
 def test_scores_match_brute_force(spark, depth):
     docs = corpus(60) + [(None, "Cat quux"), (None, None), (500, ""), (501, "a\x0bb  c"), (500, "twice"), (500, "twice")]
     table = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS chunk", "3 AS id")
@@ -87,6 +87,19 @@ def test_scores_match_brute_force(spark, depth):
         assert a[6] == pytest.approx(b[6]) and a[7] == pytest.approx(b[7], rel=1e-5)
 
 
+def test_very_long_texts_are_scored_whole(spark):
+    text = "the cat sat on the mat " * 20000
+    rows = {r.doc_id: r for r in contexttree.language_scores(spark.createDataFrame([(1, text), (2, text + "zebra"), (3, "x" * 300000)], "doc_id long, text string")).collect()}
+    assert (rows[1].n_tokens, rows[2].n_tokens, rows[3].n_tokens) == (120001, 120002, 2)
+    assert rows[1].n_bytes == len(text) and rows[2].score < rows[1].score and rows[3].n_bytes == 300001
+
+
+def test_common_ranges_have_several_groups(spark):
+    model = contexttree.train(spark.createDataFrame([(" ".join(f"q{i}{j}q" for i in range(200) for j in "abc"),)], "text string"))
+    groups = model.groups()
+    assert len(groups) == model.ranges and min(groups) == 1 and max(groups) > 1
+
+
 def test_chances_add_up_to_one():
     keys, sizes = contexttree.byte_runs([x.encode() for _, x in corpus(50)], 4)
     keys, counts = contexttree.distinct(keys)

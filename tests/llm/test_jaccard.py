@@ -98,6 +98,15 @@ def test_near_copies_below_the_limit_in_blocks(spark, monkeypatch):
             assert (got.get(node[k], node[k]) == got.get(node[m], node[m])) == (want[k] == want[m])
 
 
+@pytest.mark.parametrize("by_length", [False, True])
+def test_very_long_texts_and_length_classes(spark, by_length):
+    long = " ".join(f"w{i}" for i in range(60000))
+    docs = [(4, long), (9, long + " end"), (2, " ".join(f"w{i}" for i in range(47000))), (7, "one two three"), (8, "one two three"), (1, "one two three four five six"), (3, "w " * 50000)]
+    docs += [(100 + i, " ".join(f"k{j}" for j in range(40 + i))) for i in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string"), by_length=by_length).collect()}
+    assert got == {k: (n, c) for k, n, c in brute(docs)}
+
+
 def test_nothing(spark):
     assert jaccard.classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert [tuple(r) for r in jaccard.classes(spark.createDataFrame([(3, None)], "doc_id long, text string")).collect()] == [(3, 0, 3)]

@@ -15,7 +15,7 @@ def rows_of(frame):
 @pytest.mark.parametrize("hot", [False, True])
 def test_mix_matches_sql(spark, hot):
     docs = [(i, "w " * (i * 7 % 50), None if i % 11 == 0 else f"s{i % 5}") for i in range(400)]
-    docs += [(None, None, "s0"), (None, "a b", None), (5, "a\x0bb\x1cc", "é"), (6, "", "Z")] + [(9, "same text", "s1")] * (300 if hot else 2)
+    docs += [(3000, "long text " * 100000, "s2"), (None, None, "s0"), (None, "a b", None), (5, "a\x0bb\x1cc", "é"), (6, "", "Z")] + [(9, "same text", "s1")] * (300 if hot else 2)
     table = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 AS size", "2 AS taken")
     got = mixing.mix(table).toPandas()
     documents = pd.DataFrame(docs, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})  # noqa: F841

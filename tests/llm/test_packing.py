@@ -60,7 +60,8 @@ def check(rows, docs, capacity):
 def test_pack(spark, group_rows):
     rng = np.random.default_rng(1)
     docs = [(i, " ".join(["word"] * int(rng.integers(0, 150)))) for i in range(300)] + [(7, "same"), (7, "same"), (None, "x"), (8, None), (9, "")] * 3
-    table = spark.createDataFrame(docs, "doc_id long, text string").withColumnRenamed("x", "length")
+    docs += [(500, "word " * 20000), (501, "é" * 30000)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS length", "'x' AS piece", "2 AS sequence_id", "3 AS offset")
     bins, least = check(packing.pack(table, capacity=64, group_rows=group_rows).collect(), docs, 64)
     assert least <= bins <= least * (1.01 if group_rows > 40 else 1.04) + 1
 

@@ -50,6 +50,25 @@ def test_stages(spark, tables):
     test_packing.check(packed, [(r.doc_id, r.text) for r in mixed.collect()], packing.CAPACITY)
 
 
+def test_rows_of_one_id_are_judged_one_by_one(spark):
+    long = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(4)]
+    rows = [(1, long[0]), (2, long[0] + " end"), (2, long[1]), (3, long[1] + " end"), (4, long[2]), (4, long[2] + " end"), (4, long[2]), (5, None), (5, ""), (5, long[3]), (None, long[3] + " end"), (None, "a b"), (6, "x"), (6, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' AS source", "1 AS node", "2 AS component_id")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()), key=str)
+    assert len(got) == 7 and [x for x in got if x[0] == 4][0][1].startswith(long[2])
+    assert {x for x in got if x[0] != 4 and x[1]} == {(1, long[0]), (2, long[1]), (5, long[3]), (None, "a b"), (6, "x")}
+    assert [x for x in got if not x[1]] in ([(5, None)], [(5, "")])
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).collect() == []
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_run(spark, tables):
     assert corpus_pipeline.run(spark, tables).count() > 100
     assert corpus_pipeline.ORACLE_SQL is None

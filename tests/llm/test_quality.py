@@ -25,7 +25,7 @@ def test_chunks_cover_every_byte():
             assert chunk.tobytes().rstrip(b"\0") == part
             seen.update(range(start, min(n, start + quality.CHUNK)))
         assert len(seen) == n and len(chunks) == max(1, -(-(n - quality.CHUNK) // quality.STEP) + 1)
-    assert len(quality.chunks_of(b"x" * 100000, 12)) == 12
+    assert len(quality.chunks_of(b"x" * 100000)) == 261
 
 
 def test_gradients_are_those_of_the_loss():
@@ -57,6 +57,31 @@ def test_gradients_are_those_of_the_loss():
         assert abs((up - down) / (2 * step) - gradient[at]) < 1e-2 * abs(gradient[at]) + 1e-4, name
 
 
+def test_scores_against_a_naive_convolution():
+    """Every filter at every byte of every chunk, one by one."""
+    rng = np.random.default_rng(3)
+    network = quality.Network.new(0.3)
+    network.bias = rng.normal(0, 1, quality.FILTERS).astype(np.float32)
+    texts = [b"", b"a", bytes(rng.integers(0, 256, 513, dtype=np.uint8)), "é words ".encode() * 200, bytes(rng.integers(32, 120, 1300, dtype=np.uint8))]
+    want = []
+    for text in texts:
+        pooled = []
+        start = 0
+        while True:
+            chunk = [text[i] if i < len(text) else 0 for i in range(start, start + quality.CHUNK + quality.WIDTH - 1)]
+            best = [-np.inf] * quality.FILTERS
+            for at in range(quality.CHUNK):
+                window = np.concatenate([network.embed[x] for x in chunk[at : at + quality.WIDTH]]).astype(np.float64)
+                best = np.maximum(best, window @ network.filters.astype(np.float64))
+            pooled.append(np.maximum(best + network.bias, 0))
+            start += quality.STEP
+            if start + quality.CHUNK - quality.STEP >= len(text):
+                break
+        logit = np.mean(pooled, axis=0) @ network.mean_weight + np.max(pooled, axis=0) @ network.max_weight + network.offset[0]
+        want.append(1 / (1 + np.exp(-logit)))
+    assert np.allclose(network.scores(texts), want, atol=1e-5)
+
+
 def test_held_out_accuracy(spark):
     docs = texts(600)
     table = spark.createDataFrame([(i, x) for i, x, _ in docs] + [(None, None), (7, ""), (8, "é" * 100000)], "doc_id long, text string").selectExpr("*", "1 AS score", "'x' AS label")
