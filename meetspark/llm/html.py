@@ -313,3 +313,10 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     """
     bound_batches(pages.sparkSession)
     return pages.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{url_col}`").alias(url_col), article(F.col(f"`{html_col}`")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: The same rows on pages that mark their article, whose only elements are headings, paragraphs, line breaks and bold text.
+ORACLE_SQL = r"""
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (SELECT page_id, url, array_to_string(list_filter(list_transform(
+  regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>'),
+  lambda x: trim(regexp_replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM pages) t"""

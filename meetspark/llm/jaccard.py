@@ -304,3 +304,13 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of_node = least.join(lowest, "root").select("node", "component_id")
     out = docs.join(of_node, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *(["node"] if with_node else []))
+
+
+#: The same rows by comparing all documents that share a shingle, for tables on which that can be afforded.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: md5_number_lower(array_to_string(w[i:i + 4], ' ')))) END AS s FROM words),
+shingles AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached AS (SELECT DISTINCT x AS doc_id, x AS other FROM links UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON r.other = l.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(r.least, s.doc_id) AS component_id FROM sets s LEFT JOIN (SELECT doc_id, min(other) AS least FROM reached GROUP BY doc_id) r ON s.doc_id = r.doc_id"""
