@@ -221,15 +221,23 @@ class Held:
                 each = np.concatenate([best[i], more[able[i]]])
                 times = self.counts[each]
                 take = self.order[np.repeat(self.starts[each] - np.cumsum(times) + times, times) + np.arange(times.sum())]
-                found, score = self.ids[take], np.repeat(np.einsum("qd,qcd->qc", q[i : i + 1], self.own[each][None])[0], times)
+                found, row, score = self.ids[take], np.repeat(each, times), np.repeat(np.einsum("qd,qcd->qc", q[i : i + 1], self.own[each][None])[0], times)
                 other = found != asked_ids[at + i]
-                found, score = found[other], score[other]
+                if other.sum() > self.k:  # but for rounding, the others are no match
+                    least = -np.partition(-score[other], self.k - 1)[self.k - 1]
+                    other &= score >= least - 1e-12 * np.linalg.norm(q[i]) * self.norms[row]
+                found, score = found[other], products_in_order(q[i], self.own[row[other]])
                 top = np.lexsort((found, -score))[: self.k]
                 for x, y in zip(out, (np.full(len(top), asked_ids[at + i]), found[top], score[top]), strict=True):
                     x.append(y)
         return [np.concatenate(x) for x in out]
 
 
+def products_in_order(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products whose terms are added from the first component to the last, so that a score doesn't depend on how many are computed together."""
+    return np.cumsum(vectors * query, axis=1)[:, -1] if len(vectors) else np.empty(0)
+
+
 def _rows(data: pa.Scalar, stored: str, size: int) -> np.ndarray:
     return np.frombuffer(data.as_buffer(), stored).reshape(-1, size).astype(np.float64)
 
@@ -237,3 +245,11 @@ def _rows(data: pa.Scalar, stored: str, size: int) -> np.ndarray:
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
+
+
+#: The same rows by comparing all queries with all vectors, for tables on which that can be afforded.
+ORACLE_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+f AS (SELECT * FROM v WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS score FROM f q JOIN f c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p) t WHERE rank <= 20"""

@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_html_extraction": html.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op8_ngram_jaccard": jaccard.ORACLE_SQL}
+    return {"op4_html_extraction": html.ORACLE_SQL, "op5_nearest_neighbours": neighbours.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op8_ngram_jaccard": jaccard.ORACLE_SQL}
