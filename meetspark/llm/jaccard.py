@@ -145,7 +145,8 @@ def _alike(percent: int) -> Column:
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes (a, b) with likeness, the exact Jaccard similarity of their sets, and linked."""
     left = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    pivots = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    # Written before it is joined, so that Spark can split a pivot with many pairs.
+    pivots = materialise(sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("shingles").alias("left")), "pivots")
     both = pairs.select("a", "b").join(left, "b").join(pivots, "a")
     shared = F.size(F.array_intersect("left", "right")).cast("long")
     union = F.size("left") + F.size("right") - shared
