@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meetspark import sources
+from meetspark import sources, streaming
 from meetspark.operators import frame
 from meetspark.plans import builtin_queries
 
@@ -377,6 +379,25 @@ def decode_malformed_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.try_variant_get("d.value", "$.k", "long").alias("k"), F.col("d.error").isNotNull().alias("malformed"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder where driver and executors can write: in spark.checkpoint.dir; where that is unset, as in tests, a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="meetspark-")
+    return f"{found.rstrip('/')}/meetspark-stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id, event_type, CASE WHEN value >= 20 THEN '$.value' END AS value, CASE WHEN event_type = 'error' THEN '$.event_type' END AS kind FROM events")
+def stream_vet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _t(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    out = streaming.drain(streaming.vet_stream(stream, 'value: <20\nevent_type: !~"^error$"'), _folder(spark))
+    path = lambda p: F.get(F.filter(F.transform("_violations", lambda v: v["path"]), lambda x: x == p), F.lit(0))
+    return out.select("event_id", "event_type", path("$.value").alias("value"), path("$.event_type").alias("kind"))
+
+
 def queries() -> dict[str, Query]:
     return _QUERIES | builtin_queries.queries()
 

@@ -177,6 +177,10 @@ def test_streams(spark, tmp_path):
     query.stop()
     assert sorted(r.n for r in spark.sql("SELECT * FROM rates").collect()) == [1, 1]
     assert streaming.unique_within(stream, ["x"], "t").isStreaming
+    vetted = streaming.vet_stream(stream, "x: <5")
+    assert streaming.drain(vetted, f"{tmp_path}/out").count() == 3
+    spark.createDataFrame([(2, "2024-01-02 00:00:00")], "x long, t string").selectExpr("x", "CAST(t AS TIMESTAMP) AS t").write.mode("append").parquet(f"{tmp_path}/in")
+    assert sorted(len(r._violations) for r in streaming.drain(vetted, f"{tmp_path}/out").collect()) == [0, 0, 1, 1]
 
 
 def test_every_builtin_has_a_query():
