@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meetspark.llm import jaccard
-from meetspark.llm.common import bound_batches, key_bounds, partitions
+from meetspark.llm.common import accuracy, bound_batches, partitions
 from meetspark.llm.shingles import MARKS, mix64, word_hashes
 
 #: Content words of a chain, and how many words after a common word the others begin to count by themselves.
@@ -96,35 +96,53 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def with_next(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows bucket, halo, id, text, clustered by bucket and sorted: the documents in ascending id (then text), each bucket followed by the first
-    documents of the next one (halo 1), the last bucket by the first documents of all. Ids are integers; null comes first."""
+    """Rows bucket, halo, id, text, clustered by bucket and sorted: the documents in ascending id, those of equal id by the hash of their text; each
+    bucket is followed by the first document of the next one (halo 1), the last bucket by the first document of all. Ids are integers; null comes
+    first, as the least integer does. An id that has several buckets' rows is dealt over them by the hashes of the texts."""
     spark = documents.sparkSession
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))
-    rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), key.alias("key"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = documents.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), key.alias("key"), F.xxhash64(text).alias("tie"))
     n = partitions(spark)
     parts = PER_PARTITION * n
-    bounds, least = key_bounds(rows, parts)
-    last = len(bounds)
+    found = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [1.0], accuracy(parts)).alias("bounds")).first()
+    bounds = np.sort(np.array((found.bounds or [])[: parts - 1], dtype=np.int64))
+
+    def buckets(keys: pa.Array, ties: pa.Array) -> np.ndarray:
+        values, hashes = (x.to_numpy(zero_copy_only=False) for x in (keys, ties))
+        left, right = np.searchsorted(bounds, values, "left"), np.searchsorted(bounds, values, "right")
+        unit = np.minimum(hashes / 2**64 + 0.5, 1 - 2**-53)
+        return left + np.floor(unit * (right - left + 1)).astype(np.int64)
+
+    @F.arrow_udf("int")
+    def bucket(keys: pa.Array, ties: pa.Array) -> pa.Array:
+        return pa.array(buckets(keys, ties).astype(np.int32))
+
+    # The first document of each bucket: a row per bucket, as many as partitions ask for.
+    firsts = sorted((r.bucket, r.least.key, r.least.tie) for r in rows.select(bucket("key", "tie").alias("bucket"), F.struct("key", "tie").alias("least")).groupBy("bucket").agg(F.min("least").alias("least")).collect())
+    number, first_key, first_tie = (np.array([x[i] for x in firsts], np.int64) for i in range(3))
 
     @F.arrow_udf("long")
-    def bucket(keys: pa.Array) -> pa.Array:
-        values = keys.to_numpy(zero_copy_only=False)
-        right = np.searchsorted(bounds, values, "right")
-        return pa.array(2 * right + (right != np.searchsorted(bounds, values, "left")), pa.int64())
+    def placed(keys: pa.Array, ties: pa.Array) -> pa.Array:
+        """The bucket, and above it the number of the bucket that the document follows, if it is the first of its own, plus one."""
+        own = buckets(keys, ties)
+        at = np.searchsorted(number, own)
+        is_first = (first_key[at] == keys.to_numpy(zero_copy_only=False)) & (first_tie[at] == ties.to_numpy(zero_copy_only=False))
+        return pa.array(own + (np.where(is_first, number[at - 1] + 1, 0) << 32), pa.int64())
 
     place = lambda b, h: F.struct(b.cast("int").alias("bucket"), F.lit(h).alias("halo"))
+    follows = F.shiftright("coded", 32)
     none = F.array().cast("array<struct<bucket:int,halo:int>>")
-    own = F.col("coded") / 2
-    places = F.concat(F.array(place(F.floor(own), 0)), F.when(F.col("coded") % 2 == 1, F.array(place(F.floor(own) - 1, 1))).otherwise(none), F.when(F.col("key") == F.lit(least), F.array(place(F.lit(last), 1))).otherwise(none))
-    out = rows.withColumn("coded", bucket("key")).withColumn("place", F.explode(places)).select("place.bucket", "place.halo", "id", "key", "text")
-    return out.repartition(n, "bucket").sortWithinPartitions("bucket", "halo", "key", "text").drop("key")
+    places = F.concat(F.array(place(F.col("coded").bitwiseAND(F.lit(2**32 - 1)), 0)), F.when(follows > 0, F.array(place(follows - 1, 1))).otherwise(none))
+    out = rows.withColumn("coded", placed("key", "tie")).withColumn("place", F.explode(places)).select("place.bucket", "place.halo", "id", "key", "tie", "text")
+    return out.repartition(n, "bucket").sortWithinPartitions("bucket", "halo", "key", "tie", "text").drop("key", "tie")
 
 
 def fingerprint_edits(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of documents and of their edited texts: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n_chars / 4) characters replaced by the first as many (or all) of the next document's.
-    Nulls: a null text is empty; rows of null id come first. Rows of equal id follow each other by text; a lone document is its own
+    Nulls: a null text is empty; rows of null id come first. Rows of equal id follow each other by the hash of their text; a lone document is its own
     next. An empty table gives no rows. Further columns are not read. Texts of any length are used whole.
     """
     bound_batches(documents.sparkSession)

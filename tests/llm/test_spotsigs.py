@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from meetspark.llm import spotsigs
 
@@ -11,7 +12,8 @@ def sets(text):
 
 
 def brute(docs):
-    rows = sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    by_hash = lambda x: ((xxhash.xxh64_intdigest(x.encode(), seed=42) + 2**63) % 2**64, x)
+    rows = sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, by_hash(x[1] or "")))
     out = []
     for i, (key, text) in enumerate(rows):
         text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
@@ -37,6 +39,15 @@ def test_edits_match_brute_force(spark, n):
     assert sorted([(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.near_edited, r.near_next) for r in got], key=str) == sorted(brute(docs), key=str)
 
 
+def test_one_id_is_dealt_over_buckets(spark):
+    docs = [(i if i % 3 else 7, x) for i, x in corpus(300)] + [(None, f"null {i}") for i in range(150)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = spotsigs.fingerprint_edits(table).collect()
+    assert sorted([(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.near_edited, r.near_next) for r in got], key=str) == sorted(brute(docs), key=str)
+    sizes = [r["count"] for r in spotsigs.with_next(table, "doc_id", "text").where("halo = 0").groupBy("bucket").count().collect()]
+    assert sum(sizes) == 450 and len(sizes) >= 12 and max(sizes) < 90
+
+
 def test_signatures_skip_common_words():
     one, other = sets("the quick brown the fox of lazy the dogs a b c d e the f g the h i the j k"), sets("the quick of brown the fox of lazy the dogs a b c d e the f g the h i the j k")
     assert len(np.intersect1d(one, other)) > 0.6 * len(one)
