@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -68,6 +70,15 @@ def key_bounds(rows: DataFrame, parts: int, key: str = "key") -> tuple[np.ndarra
     return np.unique(np.array(found.bounds or [], dtype=np.int64)), found.least
 
 
+def release_memory() -> None:
+    """Give back to the system what a worker has freed: earlier stages leave their buffers with the allocators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of a string column; null is the empty text."""
     return [x or "" for x in column.to_pylist()]

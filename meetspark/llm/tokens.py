@@ -21,12 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meetspark.llm.common import balanced, bound_batches, texts_of
+from meetspark.llm.common import balanced, bound_batches, release_memory, texts_of
 
 #: The vocabulary file of the contracts, and the id that ends each document.
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: UTF-8 bytes of texts that are encoded together, and distinct pieces and parts of pieces that a worker remembers.
-BATCH_BYTES, MEMO_PIECES, MEMO_PARTS = 8 << 20, 600_000, 400_000
+BATCH_BYTES, MEMO_PIECES, MEMO_PARTS = 3 << 20, 150_000, 200_000
 
 #: Kinds of characters below _KNOWN: letters, digits, marks, the space, line feeds; others (0) are left to the library. Apostrophes are, as
 #: they begin contractions; so are letters beyond Latin Extended-A, and white space but for the two.
@@ -283,6 +283,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder_of(name: str) -> Encoder:
     """This worker's encoder for a vocabulary."""
     if name not in _ENCODERS:
+        release_memory()
         _ENCODERS[name] = Encoder(name)
     return _ENCODERS[name]
 
