@@ -3,11 +3,12 @@
 Each vector is cut into subspaces of two dimensions, and each part is coded by one of 16 centroids. Codes and centroids
 minimise a loss in which the part of the residual that is parallel to the vector weighs more than the rest, because that part is
 what changes large inner products. Codebooks are fitted on the driver to a bounded sample of TRAIN_ROWS vectors in hash
-order; every vector is coded. Rows are dealt by hash into blocks, each packed into one row of ids, vectors and codes; a block of vectors is
-shuffled once, to where the blocks of queries come to it. A block of queries meets a block of vectors in one task: tables
+order; every vector is coded. Rows are dealt by hash into blocks, each packed into one row of ids, vectors and codes. The blocks of vectors are
+dealt to SIDES sides, and a task holds a group of queries, to which the blocks of one side come one after another: tables
 of the queries' products with all centroids, two subspaces to a table, are summed along the codes; the best RERANK
-of each block are scored exactly in double precision and give a cut-off; of the others all that could reach it, by their residuals' lengths along
-and across them, are scored exactly too. The best of all blocks stay. Every vector is scanned and none is passed over that could be
+of each block are scored exactly in double precision and give a cut-off, which those found before may raise; of the others all that could reach it,
+by their residuals' lengths along and across them, are scored exactly too. The task gives back the best of its side, so that a query has SIDES times k rows
+to choose from, however many blocks there are. Every vector is scanned and none is passed over that could be
 nearer, so the neighbours are the true ones, near copies included.
 """
 
@@ -27,9 +28,9 @@ from meetspark.llm.common import bound_batches, materialise, partitions
 K, EVERY = 20, 20
 #: The bound of the training sample; weight threshold of the loss; rounds of fitting and coding.
 TRAIN_ROWS, THRESHOLD, ROUNDS = 8192, 0.2, 4
-#: Bytes of the vectors and of the queries of a block, as doubles, and the most vectors; candidates of a block that are scored exactly for its
-#: cut-off; queries that are scanned at once.
-BLOCK_BYTES, QUERY_BYTES, BLOCK_ROWS, RERANK, SCAN = 16 << 20, 4 << 20, 16384, 96, 64
+#: Bytes of a block of vectors or a group of queries, as doubles, and the most rows; candidates of a block that are scored exactly for its
+#: cut-off; queries that are scanned at once; sides that the blocks are dealt to.
+BLOCK_BYTES, BLOCK_ROWS, RERANK, SCAN, SIDES = 16 << 20, 16384, 96, 64, 8
 #: Dimensions of a subspace and centroids of its codebook: four bits.
 PART, CODES = 2, 16
 
@@ -145,7 +146,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     vector = F.col(f"`{vector_col}`")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("vector")).where(F.col("id").isNotNull() & usable(vector))
     rows = materialise(rows.groupBy("id").agg(F.min("vector").alias("vector")), "vectors")
-    sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("count"), F.count_if(F.col("id") % every == 0).alias("asked")).orderBy(F.desc("count"), "size").first()
     result = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
         return spark.createDataFrame([], result)
@@ -158,79 +159,118 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     # Components are shuffled as they were given: four bytes each if the table has floats.
     wide = vectors.schema[vector_col].dataType.elementType
     stored = "<f4" if isinstance(wide, T.FloatType) else "<f8"
-    blocks = max(1, min(n, partitions(spark)), -(-n // max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * sizes["size"])))))
-    asked = max(1, -(-n // (every * max(1, QUERY_BYTES // (8 * sizes["size"])))))
+    most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * sizes["size"])))
+    sides = min(SIDES, n)
+    blocks = -(-max(min(n, partitions(spark)), -(-n // most)) // sides) * sides
+    groups = max(1, -(-sizes["asked"] // most), min(sizes["asked"], -(-partitions(spark) // sides)))
 
     def packed(table: pa.Table) -> pa.Table:
-        own = _matrix(table["vector"])
+        ids, copies, own = distinct(table["id"].to_numpy(), _matrix(table["vector"]), k + 1)  # a query may be one of the copies
         codes = np.concatenate([pack_codes(encode(own[i : i + 1024], books, weight)) for i in range(0, len(own), 1024)])
-        return pa.table({"block": table["block"][:1], "ids": pa.array([table["id"].to_numpy().tobytes()], pa.binary()), "vectors": pa.array([own.astype(stored).tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary())})
+        return pa.table({"block": table["block"][:1]} | {x: pa.array([y.tobytes()], pa.binary()) for x, y in (("ids", ids), ("copies", copies), ("vectors", own.astype(stored)), ("codes", codes))})
 
     def gathered(table: pa.Table) -> pa.Table:
-        return pa.table({"asked": table["asked"][:1], "asked_ids": pa.array([table["id"].to_numpy().tobytes()], pa.binary()), "asks": pa.array([_matrix(table["vector"]).astype(stored).tobytes()], pa.binary())})
-
-    index = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(packed, "block int, ids binary, vectors binary, codes binary")
-    queries = rows.where(F.col("id") % every == 0).withColumn("asked", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asked)).cast("int")).groupBy("asked").applyInArrow(gathered, "asked int, asked_ids binary, asks binary")
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return pa.table({"asked": table["asked"][:1], "ids": pa.array([table["id"].to_numpy().tobytes()], pa.binary()), "vectors": pa.array([_matrix(table["vector"]).astype(stored).tobytes()], pa.binary())})
+
+    # A cell is a group of queries and a side: a task of its own, which gets the queries (block -1) first.
+    cell = (F.col("asked") * sides + F.col("side")).alias("cell")
+    index = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(packed, "block int, ids binary, copies binary, vectors binary, codes binary")
+    index = index.select("*", (F.col("block") % sides).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("asked"))
+    queries = rows.where(F.col("id") % every == 0).withColumn("asked", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")).groupBy("asked").applyInArrow(gathered, "asked int, ids binary, vectors binary")
+    queries = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("side"))
+    none = F.lit(None).cast("binary")
+    met = queries.select(cell, F.lit(-1).alias("block"), "ids", none.alias("copies"), "vectors", none.alias("codes")).unionAll(index.select(cell, "block", "ids", "copies", "vectors", "codes"))
+    met = met.repartitionById(groups * sides, "cell").sortWithinPartitions("cell", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, block = None, None
+        asked, at = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                number, ids, own, codes, asked_ids, asks = (batch.column(j)[i] for j in range(6))
-                if held is None or block != number.as_py():
-                    held, block = Held(np.frombuffer(ids.as_buffer(), "<i8"), _rows(own, stored, sizes["size"]), np.frombuffer(codes.as_buffer(), np.uint8), books, k), number.as_py()
-                found = held.search(np.frombuffer(asked_ids.as_buffer(), "<i8"), _rows(asks, stored, sizes["size"]), rerank)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
-
-    pairs = index.hint("merge").join(queries, "block").select("block", "ids", "vectors", "codes", "asked_ids", "asks")
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
+                number, block, ids, copies, own, codes = (batch.column(j)[i] for j in range(6))
+                if at != number.as_py():
+                    if asked is not None:
+                        yield asked.found()
+                    asked, at = None, number.as_py()
+                if block.as_py() < 0:
+                    asked = Asked(np.frombuffer(ids.as_buffer(), "<i8"), _rows(own, stored, sizes["size"]), books, k, rerank, most)
+                elif asked is not None:  # a group may be empty
+                    asked.meet(np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(copies.as_buffer(), "<i8"), _rows(own, stored, sizes["size"]), np.frombuffer(codes.as_buffer(), np.uint8))
+        if asked is not None:
+            yield asked.found()
+
+    found = met.mapInArrow(search, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-class Held:
-    """A block of vectors, ready to be searched: rows of distinct vectors, each with its ids in ascending order."""
-
-    def __init__(self, ids: np.ndarray, own: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int):
-        by_id = np.argsort(ids, kind="stable")
-        self.ids, own, codes = ids[by_id], own[by_id], codes.reshape(len(ids), -1)[by_id]
-        first, group = np.unique(own.view([("", own.dtype)] * own.shape[1]).ravel(), return_index=True, return_inverse=True)[1:]
-        self.order = np.argsort(group, kind="stable")  # rows by distinct vector, ids ascending
-        self.starts = np.searchsorted(group[self.order], np.arange(len(first)))
-        self.counts = np.minimum(np.diff(np.append(self.starts, len(ids))), k + 1)  # a query may be one of them
-        self.own, self.codes, self.books, self.k = own[first], codes[first], books, k
-        self.norms, self.coded = np.linalg.norm(self.own, axis=1), decode(self.codes, books, own.shape[1])
-
-    def search(self, asked_ids: np.ndarray, asks: np.ndarray, rerank: int) -> list[np.ndarray]:
-        """Of each query the k nearest rows of the block: query ids, row ids, scores."""
-        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
-        for at in range(0, len(asks), SCAN):
-            q = asks[at : at + SCAN]
-            near = scan(q, self.books, self.codes)
-            some = min(rerank, near.shape[1])
+def distinct(ids: np.ndarray, vectors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest `most` ids of each distinct vector, ascending and one vector after another; how many each has; the distinct vectors."""
+    by_id = np.argsort(ids, kind="stable")
+    ids, vectors = ids[by_id], vectors[by_id]
+    first, group, counts = np.unique(vectors.view([("", vectors.dtype)] * vectors.shape[1]).ravel(), return_index=True, return_inverse=True, return_counts=True)[1:]
+    order = np.argsort(group, kind="stable")
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return ids[order[place < most]], np.minimum(counts, most), vectors[first]
+
+
+class Asked:
+    """A group of queries and the k nearest rows found for each so far, best first, as blocks of vectors come."""
+
+    def __init__(self, ids: np.ndarray, asks: np.ndarray, books: np.ndarray, k: int, rerank: int, most: int):
+        self.ids, self.asks, self.books, self.k, self.rerank, self.most = ids, asks, books, k, rerank, most
+        self.near, self.scores = [np.empty(0, np.int64)] * len(ids), [np.empty(0)] * len(ids)
+        self.cut = np.full(len(ids), -np.inf)  # of those that have k, the last one's score
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+
+    def meet(self, *block: np.ndarray) -> None:
+        """Takes ids, numbers of copies, distinct vectors and codes of a block; small blocks are searched together."""
+        if self.waiting and sum(len(x[2]) for x in self.waiting) + len(block[2]) > self.most:
+            self.search()
+        self.waiting.append(block)
+
+    def found(self) -> pa.RecordBatch:
+        if self.waiting:
+            self.search()
+        query_ids = np.repeat(self.ids, [len(x) for x in self.near])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (query_ids, np.concatenate(self.near), np.concatenate(self.scores))], names=["query_id", "vec_id", "score"])
+
+    def search(self) -> None:
+        """Enters the rows of the waiting blocks that are nearer than those found before."""
+        ids, times, own, codes = (np.concatenate(x) for x in zip(*((a, b, c, d.reshape(len(c), -1)) for a, b, c, d in self.waiting), strict=True))
+        self.waiting = []
+        starts, norms, coded = np.cumsum(times) - times, np.linalg.norm(own, axis=1), decode(codes, self.books, own.shape[1])
+        for at in range(0, len(self.asks), SCAN):
+            q = self.asks[at : at + SCAN]
+            near = scan(q, self.books, codes)
+            some = min(self.rerank, near.shape[1])
             best = np.argpartition(-near, some - 1, axis=1)[:, :some]
-            exact = np.einsum("qd,qcd->qc", q, self.own[best])
-            cut = -np.partition(-exact, self.k, axis=1)[:, self.k] if some > self.k else np.full(len(q), -np.inf)  # the query may be one of them
-            able = reaching(near, cut, q, self.own, self.coded)
+            exact = np.einsum("qd,qcd->qc", q, own[best])
+            cut = self.cut[at : at + SCAN]
+            if some > self.k:  # the query may be one of them
+                cut = np.maximum(cut, -np.partition(-exact, self.k, axis=1)[:, self.k])
+            able = reaching(near, cut, q, own, coded)
             np.put_along_axis(able, best, False, axis=1)
             more = np.flatnonzero(able.any(axis=0))
-            products = q @ self.own[more].T
-            able = able[:, more] & (products >= cut[:, None] - 1e-12 * np.linalg.norm(q, axis=1)[:, None] * self.norms[more])
+            products = q @ own[more].T
+            able = able[:, more] & (products >= cut[:, None] - 1e-12 * np.linalg.norm(q, axis=1)[:, None] * norms[more])
             for i in range(len(q)):
                 each = np.concatenate([best[i], more[able[i]]])
-                times = self.counts[each]
-                take = self.order[np.repeat(self.starts[each] - np.cumsum(times) + times, times) + np.arange(times.sum())]
-                found, row, score = self.ids[take], np.repeat(each, times), np.repeat(np.einsum("qd,qcd->qc", q[i : i + 1], self.own[each][None])[0], times)
-                other = found != asked_ids[at + i]
+                n = times[each]
+                found = ids[np.repeat(starts[each] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                row, score = np.repeat(each, n), np.repeat(np.einsum("qd,qcd->qc", q[i : i + 1], own[each][None])[0], n)
+                other = found != self.ids[at + i]
+                least = self.cut[at + i]
                 if other.sum() > self.k:  # but for rounding, the others are no match
-                    least = -np.partition(-score[other], self.k - 1)[self.k - 1]
-                    other &= score >= least - 1e-12 * np.linalg.norm(q[i]) * self.norms[row]
-                found, score = found[other], products_in_order(q[i], self.own[row[other]])
-                top = np.lexsort((found, -score))[: self.k]
-                for x, y in zip(out, (np.full(len(top), asked_ids[at + i]), found[top], score[top]), strict=True):
-                    x.append(y)
-        return [np.concatenate(x) for x in out]
+                    least = max(least, -np.partition(-score[other], self.k - 1)[self.k - 1])
+                other &= score >= least - 1e-12 * np.linalg.norm(q[i]) * norms[row]
+                self.enter(at + i, found[other], products_in_order(q[i], own[row[other]]))
+
+    def enter(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.concatenate([self.near[i], ids]), np.concatenate([self.scores[i], scores])
+        top = np.lexsort((ids, -scores))[: self.k]
+        self.near[i], self.scores[i] = ids[top], scores[top]
+        if len(top) == self.k:
+            self.cut[i] = self.scores[i][-1]
 
 
 def products_in_order(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:

@@ -81,3 +81,57 @@ def test_no_reaching_vector_is_left_out(sign):
 def test_nothing(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     assert neighbours.nearest(spark.createDataFrame([(20, [1.0])], "vec_id long, embedding array<float>")).collect() == []
+
+
+def made_by(df, node):
+    """Rows of the result, and how many rows the plan's nodes of that name made."""
+    rows, plans, made = df.collect(), [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            plans.append(plan.executedPlan())
+        elif name.endswith("QueryStage"):
+            plans.append(plan.plan())
+        else:
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+        if name == node:
+            made += plan.metrics().apply("pythonNumRowsReceived").value()
+    return rows, made
+
+
+@pytest.mark.parametrize("parts,block_rows", [(4, 1000), (60, 1000), (4, 50), (60, 50)])
+def test_more_blocks_give_no_more_rows_to_choose_from(spark, monkeypatch, parts, block_rows):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", block_rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    x = vectors(3000, 8)
+    x[:400] = x[0]
+    x[400:800] = x[400] + 0.001 * vectors(400, 8, 1)
+    rows = [(int(i), [float(v) for v in y]) for i, y in enumerate(x)]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got, made = made_by(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), "MapInArrow")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 150 * 20 <= made <= 150 * 20 * 8
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    want = {}
+    for q in range(0, 3000, 20):
+        score = np.cumsum(x[q].astype(np.float64) * x.astype(np.float64), axis=1)[:, -1]
+        want[q] = [i for i in np.lexsort((np.arange(3000), -score)) if i != q][:20]
+    assert found == want
+
+
+def test_group_of_queries_may_be_missing_and_all_rows_may_ask(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 5)
+    x = vectors(60, 3)
+    rows = [(int(i) * 20, [float(v) for v in y]) for i, y in enumerate(x)]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    assert {q: [each[i] for i in sorted(each)] for q, each in got.items()} == {q: [i for i, _ in each] for q, each in brute(rows).items()}
+    few = [(i + 1, y) for i, y in rows[1:]] + rows[:1]  # one query
+    assert [(r.query_id, r.vec_id) for r in neighbours.nearest(spark.createDataFrame(few, "vec_id long, embedding array<float>")).orderBy("rank").collect()] == [(0, i) for i, _ in brute(few)[0]]
+    assert neighbours.nearest(spark.createDataFrame([(i + 1, y) for i, y in rows], "vec_id long, embedding array<float>")).collect() == []
